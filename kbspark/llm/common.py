@@ -119,16 +119,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 to n - 1, modulo 2**64."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        factors = np.full(max(n, 4096), base % (1 << 64), np.uint64)
+        factors[0] = 1
+        held = _powers[base] = np.cumprod(factors)
+    return held[:n]
+
+
 def rolling(ids: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of width consecutive ids; empty if there are fewer."""
+    """A hash of each run of width consecutive ids, the same wherever it stands; empty if there are fewer."""
     n = len(ids) - width + 1
-    if n <= 0:
+    if n <= 0 or width <= 0:
         return np.empty(0, np.uint64)
-    out = ids[:n].copy()
-    for i in range(1, width):
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += ids[i : i + n]
-    return mix(out)
+    if width <= 5:
+        out = ids[:n].copy()
+        for i in range(1, width):
+            out *= np.uint64(_BASE)
+            out += ids[i : i + n]
+        return mix(out)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * _power(pow(_BASE, -1, 1 << 64), len(ids)))])
+    return mix((sums[width:] - sums[:n]) * _power(_BASE, n))
 
 
 def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4_000) -> Iterator[pa.RecordBatch]:
