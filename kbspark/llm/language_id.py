@@ -15,7 +15,7 @@ TRAIN_ROWS = 3_000
 #: Buckets of hashed character n-grams (of 1 to 3 characters), and centroids for each language.
 BITS, CENTROIDS, ROUNDS = 13, 3, 10
 #: A text is rejected if its cosine is below this share of the least one among its language's training texts.
-REJECT = 0.5
+REJECT = 0.25
 #: Label values that a model can hold; more are an error, as they are sent to every task.
 MOST_LANGUAGES = 5_000
 

@@ -53,7 +53,7 @@ def _write(folder: str):
                 payload = (html or "").encode("utf-8", "replace")
                 if out is None:
                     name = f"pages-{uuid.uuid4().hex}.warc.gz"
-                    out, size, n = files.open_output_stream(f"{top}/{name}"), 0, 0
+                    out, size, n = files.open_output_stream(f"{top}/{name}", compression=None), 0, 0
                 data = record("response" if refers_to is None else "revisit", page_id, url, payload, hashlib.sha1(payload).hexdigest(), refers_to)
                 out.write(data)
                 size, n = size + len(data), n + 1
