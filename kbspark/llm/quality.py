@@ -16,20 +16,25 @@ from .decontaminate import words_of
 
 #: Labelled rows that a model is fitted on, at most about; drawn by a hash of the id.
 TRAIN_ROWS = 8_000
-#: Buckets of hashed features, texts that must have a feature, and strength of the shrinkage towards no weight.
-BITS, LEAST_TEXTS, SHRINK, ROUNDS = 20, 3, 2e-4, 300
+#: Buckets of hashed features, texts that must have a feature, strength of the shrinkage that chooses features, and rounds
+#: of the choice and of the fit of those chosen.
+BITS, LEAST_TEXTS, SHRINK, ROUNDS, FIT_ROUNDS = 20, 5, 2e-3, 150, 150
+#: Bytes of the beginnings of words that count as features beside whole words.
+BEGINNINGS = (4, 5, 6)
 
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _PLAIN = bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 32, 9, 10, 13, 46, 44])
 
 
 def features(text: bytes | None) -> set[bytes]:
-    """The distinct words of a whole text, and in tenths its shares of capitals, digits and odd characters."""
+    """The distinct words and word beginnings of a whole text, and in tenths its shares of capitals, digits and odd characters."""
     text = text or b""
     size = max(len(text), 1)
     shares = (len(text) - len(text.translate(None, kind)) for kind in (_UPPER, _DIGIT, _PLAIN))
     upper, digit, plain = (int(10 * n / size) for n in shares)
-    return {*words_of(text), b"\x00u%d" % upper, b"\x00d%d" % digit, b"\x00p%d" % plain, b"\x00long" if size > 200 else b"\x00short"}
+    words = set(words_of(text))
+    beginnings = {b"\x01" + w[:n] for w in words for n in BEGINNINGS if len(w) > n}
+    return words | beginnings | {b"\x00u%d" % upper, b"\x00d%d" % digit, b"\x00p%d" % plain}
 
 
 def bucket(feature: bytes) -> int:
@@ -49,7 +54,10 @@ class Model:
 
 
 def train(grades: np.ndarray, lists: list[np.ndarray], n_grades: int) -> Model:
-    """Proximal gradient descent with a step for each coordinate; weights that don't pay for themselves stay 0."""
+    """Proximal gradient descent with a step for each coordinate, until weights that don't pay for themselves are 0.
+
+    Then those left are fitted anew without shrinkage, which would hold them too small.
+    """
     sizes = np.array([len(x) for x in lists], np.int64)
     flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
     seen, at = np.unique(flat, return_inverse=True)
@@ -60,14 +68,20 @@ def train(grades: np.ndarray, lists: list[np.ndarray], n_grades: int) -> Model:
     share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / max(len(grades), 1), 1e-3, 1 - 1e-3)
     cuts = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-6 * np.arange(n_grades - 1))
     w, past_w, past_c, n = np.zeros(len(seen)), np.full(len(seen), 1e-8), np.full(n_grades - 1, 1e-8), max(len(grades), 1)
-    for _ in range(ROUNDS if len(grades) else 0):
+    for round_ in range(ROUNDS + FIT_ROUNDS if len(grades) else 0):
+        if round_ == ROUNDS:
+            left = np.flatnonzero(w)
+            new = np.full(len(seen), -1)
+            new[left] = np.arange(len(left))
+            row, at = row[new[at] >= 0], new[at[new[at] >= 0]]
+            w, past_w, seen, past_c = w[left], np.full(len(left), 1e-8), seen[left], np.full(n_grades - 1, 1e-8)
         score = np.bincount(row, w[at], len(lists))
         low = np.where(grades > 0, cuts[np.maximum(grades - 1, 0)] - score, -50.0)
         high = np.where(grades < n_grades - 1, cuts[np.minimum(grades, n_grades - 2)] - score, 50.0)
         s_low, s_high = (1 / (1 + np.exp(-np.clip(x, -50, 50))) for x in (low, high))
         p = np.maximum(s_high - s_low, 1e-9)
         d_low, d_high = s_low * (1 - s_low) / p, s_high * (1 - s_high) / p
-        g = np.bincount(at, (d_high - d_low)[row], len(seen)) / n
+        g = np.bincount(at, (d_high - d_low)[row], len(seen)) / n + 1e-5 * w
         gc = np.zeros(n_grades - 1)
         np.add.at(gc, np.maximum(grades - 1, 0), np.where(grades > 0, d_low, 0) / n)
         np.add.at(gc, np.minimum(grades, n_grades - 2), np.where(grades < n_grades - 1, -d_high, 0) / n)
@@ -75,7 +89,8 @@ def train(grades: np.ndarray, lists: list[np.ndarray], n_grades: int) -> Model:
         past_c += gc * gc
         step = 0.3 / np.sqrt(past_w)
         w -= step * g
-        w = np.sign(w) * np.maximum(np.abs(w) - step * SHRINK, 0)
+        if round_ < ROUNDS:
+            w = np.sign(w) * np.maximum(np.abs(w) - step * SHRINK, 0)
         cuts = np.maximum.accumulate(cuts - 0.3 / np.sqrt(past_c) * gc)
     weights = np.zeros(1 << BITS, np.float32)
     weights[seen] = w

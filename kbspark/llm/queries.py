@@ -78,15 +78,16 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-#: Ratings from the labels: 0 and 1 toxic, 2 and 3 clean, the odd ones of good quality. Rows with a null label have none.
-GRADES, CLEAN = 4, 2
+#: Ratings from the labels: 0 toxic, 1 clean, 2 clean and of good quality. Rows with a null label have none. Texts are kept
+#: whose probability of being clean is at least KEEP.
+GRADES, CLEAN, KEEP = 3, 1, 0.7
 
 
 def op1_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    ratings = table(spark, sf_dir, "labels").select("doc_id", (2 * (1 - F.col("toxic")) + F.col("quality")).alias("grade"))
+    ratings = table(spark, sf_dir, "labels").select("doc_id", ((1 - F.col("toxic")) * (1 + F.col("quality"))).alias("grade"))
     graded = quality.grade(docs, quality.fit(docs, ratings, GRADES), CLEAN)
-    return graded.withColumn("kept", F.col("p_tail") >= 0.5)
+    return graded.withColumn("kept", F.col("p_tail") >= KEEP)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
