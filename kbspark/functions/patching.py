@@ -108,7 +108,7 @@ def rewrite_links(content: str, rewrites: dict[str, str]) -> str:
                 k += 1
                 new = wanted.get(markdown.normalise_href(markdown._unescape(href)))
                 if new is not None:
-                    out += source[at : m.start(3)] + (f"<{new}>" if re.search(r"[\s()]", new) else new)
+                    out += source[at : m.start(3)] + (f"<{new}>" if m[3].startswith("<") or re.search(r"[\s()]", new) else new)
                     at = m.end(3)
         lines[block.line : block.end] = [out + source[at:]] + [""] * (block.end - block.line - 1)
     return _with_body(content, "".join(lines))

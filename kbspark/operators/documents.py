@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import index_doc, log_doc
 from ..functions.markdown import normalise_href
@@ -27,12 +28,12 @@ def parse_indexes(indexes: DataFrame) -> DataFrame:
     return indexes.select("dir", "content").mapInPandas(run, "dir string, ordinal long, heading string, title string, link string, description string, problem string, line long")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title_case(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else index_doc.heading_of(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def href_of(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else normalise_href(x))
 

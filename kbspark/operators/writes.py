@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import VersionError, is_supported
 from ..functions import frontmatter, patching, paths
@@ -47,7 +48,7 @@ def plan_rewrites(files: DataFrame, rewrites: DataFrame) -> DataFrame:
     return plan(files.join(grouped, "rel_path"), _rewrite, ("pairs",))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def moved_href(href: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([paths.moved_href(*x) for x in zip(href, source, target, strict=True)])
 

@@ -131,7 +131,7 @@ def stable_id_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey::VARCHAR AS rel_path, CASE WHEN o_orderkey % 10 = 0 THEN 'new' WHEN o_orderkey % 10 = 1 THEN 'gone' WHEN o_orderkey % 10 = 2 THEN 'changed' ELSE 'fresh' END AS state FROM orders")
 def cache_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("rel_path"), F.col("o_orderkey").alias("k"), F.unix_millis("o_orderdate").alias("mtime_ms"), F.col("o_custkey").alias("size"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("rel_path"), F.col("o_orderkey").alias("k"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("mtime_ms"), F.col("o_custkey").alias("size"))
     listed = rows.where("k % 10 <> 1").withColumn("size", F.when(F.col("k") % 10 == 2, F.col("size") + 1).otherwise(F.col("size")))
     return cache.diff(rows.where("k % 10 <> 0"), listed)
 
@@ -409,7 +409,7 @@ def log_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.parse_logs(documents.render_log(_log_entries(spark, sf_dir))).select("rel_path", "title", "date", "label", "text", "section", "entry")
 
 
-_DAY = "1999-12-31"
+_DAY = "2999-12-31"
 _LOG_TEXT = f"""l AS ({_LOG}), d AS (SELECT rel_path, title, date, '## ' || date || chr(10) || string_agg('* ' || coalesce('**' || label || '**: ', '') || text, chr(10) ORDER BY k) || chr(10) AS s FROM l GROUP BY rel_path, title, date)"""
 
 
@@ -477,8 +477,7 @@ UNION ALL SELECT 'nation/7.md', sha256(f), sha256(replace(replace(f, '<../region
 def move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = graph_bundle(spark, sf_dir)
     plans = writes.plan_move(rows.select("rel_path", "content"), links.build(rows).links, "nation/7.md", "land/of/seven.md")
-    plans = plans.withColumn("proposed", F.when(F.col("rel_path") == "nation/7.md", F.regexp_replace("proposed", r"\]\((\.\./\.\./region/\d+\.md)\)", "](<$1>)")).otherwise(F.col("proposed")))
-    return plans.select("rel_path", "original_sha256", F.sha2("proposed", 256).alias("proposed_sha256"), "changed")
+    return _plan_columns(plans)
 
 
 def _repair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
