@@ -163,6 +163,16 @@ def _pass(shared: Broadcast, keep_text: bool):
     return run
 
 
+def _blocks(benchmark: DataFrame, width: int, item_col: str, text_col: str) -> Iterator[Probes]:
+    """The benchmark in blocks of about BLOCK_BYTES of text, one at a time."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.col(text_col).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    for block in range(blocks):
+        here = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block)
+        yield Probes([(r.name, r.text.encode() if r.text else None) for r in here.collect()], width)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """For each row of docs: id_col, n_words, spans (start and end of each stretch of hit words) and items (found in it).
 
@@ -175,15 +185,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: s
     each. A block has at most BLOCK_BYTES of text (or one item), so it can be broadcast; more blocks take more passes.
     Nothing is shuffled.
     """
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
     schema = "_id long, _text string, _words long, _spans array<int>, _items array<string>"
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("_words"), F.array().cast("array<int>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
-    for block in range(blocks):
-        here = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block)
-        probes = Probes([(r.name, r.text.encode() if r.text else None) for r in here.collect()], width)
-        rows = rows.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(probes), block < blocks - 1), schema)
+    blocks = list(_blocks(benchmark, width, item_col, item_text_col))
+    for k, probes in enumerate(blocks):
+        rows = rows.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(probes), k < len(blocks) - 1), schema)
     return rows.select(F.col("_id").alias(id_col), F.col("_words").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
 
 
@@ -191,7 +197,29 @@ def hit_words(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("sign")), lambda s, x: F.struct((s["n"] + s["sign"] * x).alias("n"), (-s["sign"]).alias("sign")), lambda s: s["n"].cast("long"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with its own columns, without the rows in whose text a window of the benchmark occurs."""
-    gone = find_leaks(docs, benchmark, width, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def _filter(shared: Broadcast, text_col: str):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes = shared.value
+        for batch in source:
+            keep, held, size = [], [], 0
+            for text in as_bytes(batch.column(batch.schema.get_field_index(text_col))):
+                held.append(words_of(text))
+                size += len(held[-1])
+                if size >= SHARD_WORDS:
+                    keep += [not spans for spans, _ in _search_shard(held, probes)]
+                    held, size = [], 0
+            if held:
+                keep += [not spans for spans, _ in _search_shard(held, probes)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """docs, with its own columns, without the rows in whose text a window of the benchmark occurs.
+
+    Rows are dropped where they are read, whatever their ids; nothing is shuffled or joined.
+    """
+    for probes in _blocks(benchmark, width, item_col, item_text_col):
+        docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(probes), text_col), docs.schema)
+    return docs

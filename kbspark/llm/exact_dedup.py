@@ -116,9 +116,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with its own columns, without the rows whose text a row with a smaller id has.
-
-    Rows with null ids stay unless a row with an id has their text: they can't be told apart, so they stay together.
-    """
-    gone = find_repeats(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """docs, with its own columns, without the rows whose text a row with a smaller id has, or any id if theirs is null."""
+    gone = find_repeats(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("digest").alias("_of")).distinct()
+    digest = F.unhex(F.sha2(normalised(docs[text_col]), 256))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (digest == gone["_of"]), "left_anti")
