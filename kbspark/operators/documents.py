@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions import index_doc, log_doc
+from ..functions import frontmatter, index_doc, log_doc
 from ..functions.markdown import normalise_href
 
 
@@ -48,16 +48,39 @@ def concept_directories(listing: DataFrame) -> DataFrame:
     return listing.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("dir")).distinct()
 
 
-def generate_entries(listing: DataFrame) -> DataFrame:
+def parse_sidecars(sidecars: DataFrame) -> DataFrame:
+    """dir, title, description, problem from dir and content: what a folder says about itself in YAML."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for folder, content in zip(batch["dir"], batch["content"], strict=True):
+                try:
+                    values = frontmatter.parse(f"---\n{content or ''}\n---\n").frontmatter
+                    line = {k: " ".join(str(values[k]).split()) or None for k in ("title", "description") if values.get(k) is not None}
+                    out.append((folder, line.get("title"), line.get("description"), None))
+                except frontmatter.DocumentParseError as e:
+                    out.append((folder, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["dir", "title", "description", "problem"])
+
+    return sidecars.select("dir", "content").mapInPandas(run, "dir string, title string, description string, problem string")
+
+
+def generate_entries(listing: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
     """dir, heading, title, link, description, ordinal: what a fresh index of each folder lists.
 
     A folder's own concepts stand under their type, by lower-cased title; the folders in it that hold concepts under
-    Subdirectories. listing has concept_id, rel_path, type, title, description.
+    Subdirectories, with the title and description of their sidecar (dir, title, description) if there is one. listing
+    has concept_id, rel_path, type, title, description.
     """
     name = F.substring_index("rel_path", "/", -1)
     own = listing.select(folder_of(F.col("rel_path")).alias("dir"), F.lit(0).alias("last"), F.col("type").alias("kind"), title_case(F.col("type")).alias("heading"), F.coalesce("title", F.substring_index("concept_id", "/", -1)).alias("title"), href_of(name).alias("link"), "description")
     below = concept_directories(listing).where("dir != ''")
-    below = below.select(folder_of(F.col("dir")).alias("dir"), F.lit(1).alias("last"), F.lit("").alias("kind"), F.lit("Subdirectories").alias("heading"), F.substring_index("dir", "/", -1).alias("title"), href_of(F.concat(F.substring_index("dir", "/", -1), F.lit("/"))).alias("link"), F.lit(None).cast("string").alias("description"))
+    told = sidecars.select("dir", F.col("title").alias("_title"), F.col("description").alias("_told")) if sidecars is not None else None
+    none = F.lit(None).cast("string")
+    below = below.join(told, "dir", "left") if told is not None else below.withColumns({"_title": none, "_told": none})
+    name = F.substring_index("dir", "/", -1)
+    below = below.select(folder_of(F.col("dir")).alias("dir"), F.lit(1).alias("last"), F.lit("").alias("kind"), F.lit("Subdirectories").alias("heading"), F.coalesce("_title", name).alias("title"), href_of(F.concat(name, F.lit("/"))).alias("link"), F.col("_told").alias("description"))
     return own.unionByName(below)
 
 

@@ -30,11 +30,15 @@ def stated_type() -> Column:
     return F.when(valid_type(), F.regexp_replace(value("type"), r"(?U)^\s+|\s+$", ""))
 
 
-def taxonomy(concepts: DataFrame, profile: Profile, project: Taxonomy = Taxonomy()) -> DataFrame:
-    """Types that aren't allowed, or, where none are listed as allowed, aren't known. A profile's lists win."""
+def taxonomy(concepts: DataFrame, profile: Profile, project: Taxonomy = Taxonomy(), of_folders: bool = False) -> DataFrame:
+    """Types that aren't allowed, or, where none are listed as allowed, aren't known. A profile's lists win.
+
+    of_folders: the rows are what folders say about themselves; their types with a leading underscore are free.
+    """
     allowed = profile.taxonomy.allowed_types or project.allowed_types
     known = profile.taxonomy.known_types or project.known_types
     rows = concepts.withColumn("_type", stated_type()).where(F.col("_type").isNotNull())
+    rows = rows.where(~F.startswith("_type", F.lit("_"))) if of_folders else rows
     if allowed:
         return _findings(rows.where(~F.col("_type").isin(*allowed)), "error", F.lit("type"), F.concat(F.lit("Concept type '"), "_type", F.lit("' is not allowed by this profile")))
     if known:

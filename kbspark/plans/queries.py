@@ -13,6 +13,7 @@ from ..functions import log_doc, patching, paths, text
 from ..operators import context, documents, links, listing, mentions, search, validate, writes
 from ..sources import bundle as scan
 from ..sources import cache
+from ..sources.scratch import fresh_path
 from .corpus import CUSTOMER_BODY, DOCUMENT_FILE, DOCUMENT_ID, EDGES_SQL, NL, SEARCH_SQL, files, graph_bundle, graph_sql, search_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -523,3 +524,81 @@ def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "part").select("p_partkey", F.expr("CASE p_partkey % 4 WHEN 0 THEN 'folder/' || p_partkey WHEN 1 THEN 'a/../b' WHEN 2 THEN 'v1.' || p_partkey ELSE 'c:d' END").alias("id"))
     found = ids.select("p_partkey", path_of("id").alias("rel_path"))
     return found.select("p_partkey", "rel_path", paths.concept_id(F.col("rel_path")).alias("concept_id"))
+
+
+# ---- more of the above ----
+
+
+@query(_BM25 + "SELECT concept_id, round(score, 6) AS score FROM hit")
+def search_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "index")
+    search.write_index(search_rows(spark, sf_dir), path)
+    return search.search_index(spark, path, TERMS).select("concept_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH e AS ({EDGES_SQL}) SELECT 'nation/' || n_nationkey AS concept_id, 'nation' AS type, n_name AS title, 1::BIGINT AS outbound, (SELECT count(*) FROM e WHERE target_concept_id = 'nation/' || n_nationkey)::BIGINT AS inbound FROM nation
+UNION ALL SELECT 'region/' || r_regionkey, 'region', r_name, 0, (SELECT count(*) FROM e WHERE target_concept_id = 'region/' || r_regionkey) FROM region""")
+def list_with_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graph_bundle(spark, sf_dir, ("nation", "region"))
+    concepts = rows.withColumn("frontmatter", F.to_json(F.struct(F.substring_index("concept_id", "/", 1).alias("type"), "title")))
+    listed = listing.with_graph(listing.list_concepts(concepts), links.degrees(rows, _edges(spark, sf_dir)))
+    return listed.select("concept_id", "type", "title", "outbound", "inbound")
+
+
+_SIDECAR = "CASE p_type WHEN 'ECONOMY' THEN 'title: Cheap parts' || chr(10) || 'description: All of them' WHEN 'SMALL' THEN '- no mapping' ELSE 'description: About ' || p_type END"
+
+
+@query("""SELECT DISTINCT p_type AS dir, CASE p_type WHEN 'ECONOMY' THEN 'Cheap parts' END AS title, CASE p_type WHEN 'ECONOMY' THEN 'All of them' WHEN 'SMALL' THEN NULL ELSE 'About ' || p_type END AS description, p_type = 'SMALL' AS faulty FROM part""")
+def index_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("dir"), F.expr(_SIDECAR).alias("content")).distinct()
+    return documents.parse_sidecars(rows).select("dir", "title", "description", F.col("problem").isNotNull().alias("faulty"))
+
+
+@query("""SELECT DISTINCT '' AS dir, CASE p_type WHEN 'ECONOMY' THEN 'Cheap parts' ELSE p_type END AS title, p_type || '/' AS link, CASE p_type WHEN 'ECONOMY' THEN 'All of them' WHEN 'SMALL' THEN NULL ELSE 'About ' || p_type END AS description FROM part""")
+def index_subdirectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("dir"), F.expr(_SIDECAR).alias("content")).distinct()
+    entries = documents.generate_entries(_parts(spark, sf_dir), documents.parse_sidecars(rows))
+    return entries.where("dir = '' AND heading = 'Subdirectories'").select("dir", "title", "link", "description")
+
+
+def _stamped(content: str) -> str:
+    """_SOURCED with lines after its owner."""
+    return f"""SELECT 'c/' || c_custkey || '.md' AS rel_path, sha256({_SOURCED}) AS original_sha256, sha256(replace({_SOURCED}, 'owner: x' || {NL}, 'owner: x' || {NL} || {content})) AS proposed_sha256, true AS changed FROM customer"""
+
+
+@query(_stamped(f"'status: draft' || {NL}"))
+def stamp_status_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan_columns(writes.plan(_sourced(spark, sf_dir), lambda content: patching.stamp_status(content, "draft")))
+
+
+@query(_stamped(f"'stale_after: 2030-01-31' || {NL}"))
+def stamp_stale_after_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan_columns(writes.plan(_sourced(spark, sf_dir), lambda content: patching.stamp_stale_after(content, "2030-01-31")))
+
+
+@query(_stamped(f"'generated:' || {NL} || '  by: tool/1.0' || {NL} || '  at: 2026-01-02 03:04:05+02:00' || {NL}"))
+def stamp_generated_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan_columns(writes.plan(_sourced(spark, sf_dir), lambda content: patching.stamp_generated(content, "tool/1.0", "2026-01-02T03:04:05+02:00")))
+
+
+_SECTIONED = f"'# ' || c_name || {NL} || {NL} || '## Notes' || {NL} || {NL} || '- [n](n/' || c_nationkey || '.md)' || {NL} || {NL} || '## End' || {NL} || {NL} || 'done' || {NL}"
+
+
+def _sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.expr("'c/' || c_custkey || '.md'").alias("rel_path"), F.expr(_SECTIONED).alias("content"), F.expr("'- [m](n/' || (c_custkey % 25) || '.md)'").alias("line"))
+
+
+@query(f"""SELECT 'c/' || c_custkey || '.md' AS rel_path, sha256({_SECTIONED}) AS original_sha256, sha256(CASE WHEN c_custkey % 25 = c_nationkey THEN {_SECTIONED} ELSE replace({_SECTIONED}, '.md)' || {NL}, '.md)' || {NL} || '- [m](n/' || (c_custkey % 25) || '.md)' || {NL}) END) AS proposed_sha256, c_custkey % 25 <> c_nationkey AS changed FROM customer""")
+def section_append_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan_columns(writes.plan(_sectioned(spark, sf_dir), lambda content, line: patching.append_section(content, "Notes", 2, [line]), ("line",)))
+
+
+@query(f"""SELECT 'c/' || c_custkey || '.md' AS rel_path, sha256({_SECTIONED}) AS original_sha256, sha256(replace({_SECTIONED}, '- [n](n/' || c_nationkey || '.md)', 'nothing')) AS proposed_sha256, true AS changed FROM customer""")
+def section_replace_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan_columns(writes.plan(_sectioned(spark, sf_dir), lambda content: patching.replace_section(content, "Notes", 2, "nothing")))
+
+
+@query(f"WITH {_LOG_TEXT} SELECT rel_path, sha256('# ' || title || chr(10) || chr(10) || '## {_DAY}' || chr(10) || '* **Moved**: [old/id](new/place.md \"moved to\")' || chr(10) || chr(10) || string_agg(s, chr(10) ORDER BY date DESC)) AS proposed_sha256, true AS changed FROM d GROUP BY rel_path, title")
+def log_move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = writes.plan(documents.render_log(_log_entries(spark, sf_dir)), lambda content: log_doc.append_move(log_doc.append_move(content, "old/id", "new/place.md", _DAY), "old/id", "new/place.md", "1970-01-01"))
+    return plans.select("rel_path", "proposed_sha256", "changed")

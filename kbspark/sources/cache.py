@@ -61,3 +61,20 @@ def changed_ranks(old: DataFrame, new: DataFrame, least: float = 1e-12) -> DataF
     """The rows of new (concept_id, pagerank) that differ from old by more than least."""
     both = new.join(old.select("concept_id", F.col("pagerank").alias("_old")), "concept_id", "left")
     return both.where(F.col("_old").isNull() | (F.abs(F.col("pagerank") - F.col("_old")) > least)).drop("_old")
+
+
+def refresh_links(concepts: DataFrame, folder: str, extract) -> DataFrame:
+    """The links of concepts, extracted only for those whose hash differs from the stored one's; titles are stored too.
+
+    extract is links.extract. Links of concepts that are gone are dropped.
+    """
+    spark, place = concepts.sparkSession, f"{folder}/links"
+    old = load(spark, place)
+    if old is None:
+        found = extract(concepts).join(concepts.select(F.col("concept_id").alias("source_concept_id"), "sha256"), "source_concept_id")
+    else:
+        known = old.select(F.col("source_concept_id").alias("concept_id"), "sha256").distinct()
+        fresh = extract(concepts.join(known, ["concept_id", "sha256"], "left_anti")).join(concepts.select(F.col("concept_id").alias("source_concept_id"), "sha256"), "source_concept_id")
+        found = old.join(concepts.select(F.col("concept_id").alias("source_concept_id"), "sha256"), ["source_concept_id", "sha256"], "left_semi").unionByName(fresh)
+    save(found, place)
+    return load(spark, place)

@@ -5,15 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write df and read it back. A temporary folder is used only where spark.checkpoint.dir is unset."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder. A temporary folder is used only where spark.checkpoint.dir is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_kbspark_tables", None)
     if not base:
         base = spark._kbspark_tables = "file://" + tempfile.mkdtemp(prefix="kbspark-tables-")
-    path = f"{base}/kbspark-tables-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{base}/kbspark-tables-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write df and read it back."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
