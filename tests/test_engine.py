@@ -1,5 +1,6 @@
 """Scan, graph, search, context, validation and the command line on small bundles."""
 
+import hashlib
 import json
 import re
 import sqlite3
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from kbspark.cli import main
 from kbspark.config import Bundle, ConfigError, Profile, Taxonomy, load
 from kbspark.functions import text
-from kbspark.operators import context, links, listing, mentions, search, validate
+from kbspark.operators import context, links, listing, mentions, search, validate, writes
 from kbspark.sources import bundle as scan
 from kbspark.sources import cache
+from kbspark.streaming.refresh import stream
 
 
 def write(root, files):
@@ -188,6 +190,46 @@ def test_command_line(spark, tmp_path, capsys):
     assert run(capsys, spark, tmp_path, "list-bundles")[1][0]["name"] == "kb" and run(capsys, spark, tmp_path, "orient")[0] == 0
 
 
+def test_apply_is_guarded(spark, tmp_path):
+    write(tmp_path, {"a.md": "one\n", "b.md": "two\n", "c.md": "three\n"})
+    files = spark.createDataFrame([("a.md", "one\n"), ("b.md", "stale\n"), ("c.md", "three\n"), ("../out.md", "x"), ("gone.md", "y")], "rel_path string, content string")
+    plans = writes.plan(files, lambda c: c if c == "three\n" else c.upper())
+    found = {r.rel_path: r.status for r in writes.apply(plans, str(tmp_path)).collect()}
+    assert found == {"a.md": "written", "b.md": "conflict", "../out.md": "unsafe", "gone.md": "missing"}
+    assert (tmp_path / "a.md").read_text() == "ONE\n" and (tmp_path / "b.md").read_text() == "two\n"
+    again = {r.rel_path: r.status for r in writes.apply(plans, str(tmp_path)).collect()}
+    assert again["a.md"] == "unchanged"
+    sha = hashlib.sha256(b"ONE\n").hexdigest()
+    assert [writes.move_file(str(tmp_path), "a.md", to, h) for to, h in (("b.md", sha), ("x/a.md", "0"), ("../a.md", sha), ("x/a.md", sha))] == ["conflict", "conflict", "unsafe", "moved"]
+    assert writes.write_safety(None) is None and writes.write_safety("---\nformat_version: '0.1'\n---\n") is None
+    assert writes.write_safety("---\nformat_version: '9.0'\n---\n") and writes.write_safety("---\nformat_version: x\n---\n") and writes.write_safety("---\n")
+
+
+def test_unplannable_changes_are_rows(spark):
+    def refuse(content):
+        raise ValueError("no")
+
+    row = writes.plan(spark.createDataFrame([("a.md", "x")], "rel_path string, content string"), refuse).first()
+    assert row.problem == "no" and row.proposed is None
+
+
+def test_stream_and_stored_links(spark, tmp_path):
+    write(tmp_path / "docs", {"a.md": doc("[b](b.md)"), "b.md": doc("x")})
+    seen = []
+    run_once = lambda: stream(spark, Bundle("b", str(tmp_path / "docs")), lambda m, n: seen.extend(r.concept_id for r in m.concepts.collect()), str(tmp_path / "cp")).awaitTermination()
+    run_once()
+    write(tmp_path / "docs", {"c.md": doc("y")})
+    run_once()
+    assert sorted(seen) == ["a", "b", "c"]
+    concepts = scan.scan(spark, Bundle("b", str(tmp_path / "docs"))).concepts
+    keep = str(tmp_path / "kept")
+    assert cache.refresh_links(concepts, keep, links.extract).count() == 1
+    write(tmp_path / "docs", {"b.md": doc("[c](c.md)")})
+    (tmp_path / "docs/a.md").unlink()
+    concepts = scan.scan(spark, Bundle("b", str(tmp_path / "docs"))).concepts
+    assert [(r.source_concept_id, r.target_concept_id) for r in cache.refresh_links(concepts, keep, links.extract).collect()] == [("b", "c")]
+
+
 @settings(deadline=None, max_examples=100)
 @given(st.text(max_size=30))
 def test_query_terms_never_fail(q):
