@@ -23,6 +23,7 @@ class Block:
     level: int = 0
     text: str = ""
     marker: str = ""
+    sign: str = "-"
     children: list[Block] = field(default_factory=list)
 
 
@@ -506,3 +507,56 @@ def escape_text(s: str) -> str:
 
 def render_link(text: str, href: str) -> str:
     return f"[{escape_text(text)}]({'<' + href + '>' if re.search(r'[\s()]', href) else href})"
+
+
+def render(body: str) -> str:
+    """A document in one canonical shape: ATX headings, dashes for bullets, fences for code, one blank line between blocks.
+
+    Inline text stays as it is written; link reference definitions come last. Rendering twice changes nothing more.
+    """
+    blocks, references = parse(body)
+    lines = _rendered(blocks)
+    if references:
+        lines += [""] if lines else []
+        lines += [f"[{label}]: {'<' + href + '>' if not href or re.search(r'[\s()<]', href) else href}" + (f' "{title}"' if title and '"' not in title else f" ({title})" if title else "") for label, (href, title) in sorted(references.items())]
+    return "\n".join(lines) + "\n" if lines else ""
+
+
+def _loose(block: Block) -> bool:
+    """Whether blank lines part the items of a list or the blocks of one."""
+    rows = [block.children, *(item.children for item in block.children)]
+    return any(b.line > a.end for blocks in rows for a, b in zip(blocks, blocks[1:], strict=False))
+
+
+def _rendered(blocks: list[Block], tight: bool = False) -> list[str]:
+    out: list[str] = []
+    last = None
+    for b in blocks:
+        if out and not tight:
+            out.append("")
+        if b.kind == "heading":
+            out.append(("#" * b.level + " " + " ".join(b.text.split("\n"))).rstrip())
+        elif b.kind == "code":
+            fence = "`" * max(3, 1 + max((len(x) for x in re.findall("`+", b.text)), default=0))
+            out += [fence + b.marker.replace("`", ""), *(b.text.split("\n") if b.text else []), fence]
+        elif b.kind == "rule":
+            out.append("_" * 70)
+        elif b.kind == "quote":
+            out += [f"> {x}".rstrip() for x in _rendered(b.children)] or [">"]
+        elif b.kind == "list":
+            bullet = "*" if last is not None and last.kind == "list" and last.marker == b.marker == "bullet" and last.sign == "-" else "-"
+            b.sign = bullet
+            loose, first = _loose(b), True
+            for n, item in enumerate(b.children):
+                if loose and not first:
+                    out.append("")
+                first = False
+                start = int(b.children[0].marker[:-1]) if b.marker == "ordered" else 0
+                mark = f"{start + n}{item.marker[-1]}" if b.marker == "ordered" else bullet
+                inner = _rendered(item.children, not loose)
+                out.append(f"{mark} {inner[0]}".rstrip() if inner else mark)
+                out += [" " * (len(mark) + 1) + x if x else "" for x in inner[1:]]
+        else:
+            out += b.text.split("\n")
+        last = b
+    return out

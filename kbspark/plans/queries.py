@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Bundle, Profile, Taxonomy, TypeFields
-from ..functions import log_doc, patching, paths, text
+from ..functions import log_doc, markdown, patching, paths, text
 from ..operators import context, documents, links, listing, mentions, search, validate, writes
 from ..sources import bundle as scan
 from ..sources import cache
@@ -602,3 +602,10 @@ def section_replace_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = writes.plan(documents.render_log(_log_entries(spark, sf_dir)), lambda content: log_doc.append_move(log_doc.append_move(content, "old/id", "new/place.md", _DAY), "old/id", "new/place.md", "1970-01-01"))
     return plans.select("rel_path", "proposed_sha256", "changed")
+
+
+@query(f"SELECT 'c/' || c_custkey || '.md' AS rel_path, '# ' || c_name || {NL} || {NL} || '- one' || {NL} || '- ' || c_mktsegment || {NL} || {NL} || 'text' || {NL} AS proposed, true AS changed FROM customer")
+def canonical_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = f"c_name || {NL} || '=====' || {NL} || '* one' || {NL} || '* ' || c_mktsegment || {NL} || {NL} || {NL} || 'text'"
+    rows = table(spark, sf_dir, "customer").select(F.expr("'c/' || c_custkey || '.md'").alias("rel_path"), F.expr(source).alias("content"))
+    return writes.plan(rows, markdown.render).select("rel_path", "proposed", "changed")

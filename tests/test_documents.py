@@ -37,6 +37,32 @@ def test_link_text_round_trip(title):
     assert markdown.links(markdown.render_link(title, "x.md")) == [(title, "x.md", None)]
 
 
+SAMPLES = [
+    "Title\n=====\n\nSub\n---\ntext\n",
+    "* a\n* b\n\n\n+ c\n",
+    "1. a\n\n   more\n2. b\n",
+    "para\r\nnext\r\n\r\n# H #\r\n",
+    "> quote\nlazy\n\n***\n",
+    "    code\n\n~~~py\nx = `1`\n~~~",
+    "- a\n  - b\n    - c\n- d\n",
+    "[x][r] and [y](z.md)\n\n[r]: <a b.md> 'T'\n",
+    "<div>\nraw\n</div>\n\ntext **bold** `c`",
+    "| a | b |\n| - | - |\n| 1 | 2 |\n",
+    "",
+]
+
+
+@pytest.mark.parametrize("sample", SAMPLES)
+def test_canonical_form(sample):
+    once = markdown.render(sample)
+    assert markdown.render(once) == once
+    assert markdown.links(once) == markdown.links(sample) and markdown.prose(once).split() == markdown.prose(sample).split()
+
+
+def test_canonical_shape():
+    assert markdown.render("Title\n=====\n* a\n* b\n\n~~~\nx\n~~~\n***\n") == "# Title\n\n- a\n- b\n\n```\nx\n```\n\n" + "_" * 70 + "\n"
+
+
 def test_frontmatter():
     assert frontmatter.parse("no").body == "no" and frontmatter.parse("---\n---\nb").frontmatter == {}
     for bad in ("---\na: 1\n", "---\n- x\n---\n", "---\n1: x\n---\n", "---\na: 1\na: 2\n---\n", "---\na: [\n---\n"):
