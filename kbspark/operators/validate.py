@@ -58,7 +58,7 @@ def required_fields(concepts: DataFrame, profile: Profile) -> DataFrame:
     """Fields that are missing, null or blank. What each row needs is one array; nothing is joined."""
     wanted = F.filter(_by_type(profile, "required", profile.required), lambda f: f != "type")
     rows = concepts.select("concept_id", "frontmatter", F.explode(wanted).alias("_field"))
-    held = F.try_variant_get(F.try_parse_json("frontmatter"), F.concat(F.lit("$."), F.col("_field")), "variant")
+    held = F.try_variant_get(F.try_parse_json("frontmatter"), F.concat(F.lit("$['"), F.col("_field"), F.lit("']")), "variant")
     kind, content = F.coalesce(F.schema_of_variant(held), F.lit("VOID")), F.try_variant_get(held, "$", "string")
     rows = rows.withColumns({"_missing": kind == "VOID", "_blank": (kind == "STRING") & (F.regexp_replace(content, r"(?U)\s+", "") == "")}).where("_missing OR _blank")
     return _findings(rows, "error", F.col("_field"), F.when(F.col("_missing"), F.concat(F.lit("Missing required frontmatter field: "), "_field")).otherwise(F.concat(F.lit("Required frontmatter field '"), "_field", F.lit("' must be a non-empty string"))))

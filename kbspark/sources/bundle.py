@@ -72,7 +72,7 @@ def stable_ids(concepts: DataFrame, field: str | None) -> DataFrame:
     """concepts with stable_id: the field's value as a trimmed string, null if missing or blank."""
     if field is None:
         return concepts.withColumn("stable_id", F.lit(None).cast("string"))
-    return concepts.withColumn("stable_id", F.nullif(F.trim(F.try_variant_get(F.try_parse_json("frontmatter"), f"$.{field}", "string")), F.lit("")))
+    return concepts.withColumn("stable_id", F.nullif(F.trim(F.try_variant_get(F.try_parse_json("frontmatter"), f"$['{field}']", "string")), F.lit("")))
 
 
 def stable_id_problems(concepts: DataFrame, field: str | None) -> DataFrame:

@@ -134,10 +134,10 @@ def test_validation(spark):
 
 
 def test_listing(spark):
-    rows = [("a", '{"type":" t ","title":"x\\r\\ny ","n":0,"flag":false}'), ("b", '{"type":["t"]}')]
+    rows = [("a", '{"type":" t ","title":"x\\r\\ny ","n":0,"flag":false,"a-b.c":[1]}'), ("b", '{"type":["t"]}')]
     concepts = spark.createDataFrame([(i, f"{i}.md", f, "body") for i, f in rows], "concept_id string, rel_path string, frontmatter string, body string")
-    row = listing.list_concepts(concepts, ("n", "gone", "flag")).collect()
-    assert len(row) == 1 and row[0].type == "t" and row[0].title == "x y" and row[0].fields == {"n": "0", "flag": "false"}
+    row = listing.list_concepts(concepts, ("n", "gone", "flag", "a-b.c")).collect()
+    assert len(row) == 1 and row[0].type == "t" and row[0].title == "x y" and row[0].fields == {"n": "0", "flag": "false", "a-b.c": "[1]"}
     assert [r.concept_id for r in listing.missing_type(concepts).collect()] == ["b"]
 
 
