@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from .common import Stored, WordHashes, as_bytes, attach, mix, rolling, store
 from .components import components
 
-#: Members that one task compares with a bucket's pivot at a time.
-GROUP_MEMBERS = 256
+#: Members that one task compares with a bucket's pivot at a time, and pivots of a bucket.
+GROUP_MEMBERS, PIVOTS = 256, 4
+#: Documents of a block, when all documents of two blocks are compared.
+BLOCK_DOCS = 512
 #: Hashed elements of one step of a signature.
 STEP = 1 << 17
 
@@ -89,8 +91,10 @@ def _sign(plan: Plan):
     return run
 
 
-def _emit_sets(plan: Plan):
-    schema = pa.schema([("grp", pa.int64()), ("salt", pa.int32()), ("member", pa.bool_()), ("id", pa.int64()), ("items", pa.binary())])
+def _emit_sets(plan: Plan, labels: bool = False):
+    """A row with the full set of a document for each group that needs it."""
+    own = [("label", pa.int64())] if labels else [("salt", pa.int32()), ("member", pa.bool_())]
+    schema = pa.schema([("grp", pa.int64()), *own, ("id", pa.int64()), ("items", pa.binary())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -99,7 +103,7 @@ def _emit_sets(plan: Plan):
             for id_, text, needs in zip(batch.column("_id").to_pylist(), as_bytes(batch.column("_text")), batch.column("_needs").to_pylist(), strict=True):
                 items = shingles(text.lower().split() if text else [], plan.width, hashes).tobytes()
                 for need in needs:
-                    rows.append((need["grp"], need["salt"], need["member"], id_, items))
+                    rows.append((*need.values(), id_, items))
                     size += len(items)
                 if size > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -152,6 +156,84 @@ def confirm(docs: DataFrame, pairs: DataFrame, plan: Plan) -> DataFrame:
     return sets.repartition(parts, "grp", "salt").sortWithinPartitions("grp", "salt", "member").mapInArrow(_compare(plan.percent), "a long, b long")
 
 
+def _compare_all(percent: int):
+    """Tiles: all documents of different labels are compared, by the shingles that several of them have."""
+
+    def links(ids: list[int], labels: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        sizes = np.array([len(x) for x in sets])
+        flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, doc = flat[order], doc[order]
+        starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        ends, keys = np.append(starts[1:], len(flat)), flat[starts]
+        root = {x: x for x in labels}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        label = np.array(labels)
+        values, counts = np.unique(label, return_counts=True)
+        most = values[counts.argmax()]
+        for q in np.flatnonzero(label != most):
+            at = np.searchsorted(keys, sets[q])
+            both = np.zeros(len(sets), np.int64)
+            for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True):
+                both[doc[a:b]] += 1
+            for x in np.flatnonzero((100 * both >= percent * (sizes + sizes[q] - both)) & (label != label[q])):
+                if (u := top(labels[q])) != (v := top(labels[x])):
+                    root[u] = v
+                    yield ids[q], ids[x]
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, ids, labels, sets = None, [], [], []
+        found: list[tuple[int, int]] = []
+        for batch in source:
+            for grp, label, id_, items in zip(*(batch.column(c).to_pylist() for c in ("grp", "label", "id", "items")), strict=True):
+                if grp != tile:
+                    if len(set(labels)) > 1:
+                        found += links(ids, labels, sets)
+                    tile, ids, labels, sets = grp, [], [], []
+                ids.append(id_)
+                labels.append(label)
+                sets.append(np.frombuffer(items, np.uint64))
+        if len(set(labels)) > 1:
+            found += links(ids, labels, sets)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def settle(docs: DataFrame, torn: DataFrame, plan: Plan) -> DataFrame:
+    """Links between documents of different labels in the buckets of torn (low, rep, label). docs: _id, _text.
+
+    Buckets that share documents make a cluster. Its documents are cut into blocks, those of a large label into blocks
+    of their own, and any two blocks that aren't of one label meet in a task, which gets each full set once and returns
+    no more links than join the labels.
+    """
+    clusters = components(torn.select(F.col("rep").alias("a"), F.col("low").alias("b"))).df
+    members = torn.select("rep", "label").distinct().join(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "rep")
+    members = store(members, "members").df
+    by_label = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    small = by_label.where(F.col("n") <= BLOCK_DOCS).groupBy("cluster").agg(F.sum("n").alias("small"))
+    large = F.col("n") > BLOCK_DOCS
+    parts = F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / BLOCK_DOCS)
+    blocks = members.join(by_label, ["cluster", "label"]).join(small, "cluster", "left")
+    blocks = blocks.select("cluster", "rep", "label", F.when(large, F.col("label")).alias("whole"), F.pmod(F.xxhash64(F.when(large, F.col("rep")).otherwise(F.col("label"))), parts).alias("part"))
+    blocks = store(blocks.withColumn("block", F.xxhash64("cluster", F.coalesce("whole", F.lit(-1)), "part")), "blocks").df
+    kinds = blocks.select("cluster", "block", "whole").distinct()
+    x, y = kinds.alias("x"), kinds.alias("y")
+    tiles = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.whole") == F.col("y.whole"), F.lit(False)))
+    tiles = tiles.select(F.array(F.col("x.block"), F.col("y.block")).alias("two"), F.xxhash64("x.block", "y.block").alias("grp"))
+    tiles = tiles.select(F.explode(F.array_distinct("two")).alias("block"), "grp")
+    needs = blocks.join(tiles, "block").groupBy("rep").agg(F.collect_list(F.struct("grp", "label")).alias("_needs"))
+    sets = docs.join(needs, docs["_id"] == needs["rep"]).select("_id", "_text", "_needs").mapInArrow(_emit_sets(plan, labels=True), "grp long, label long, id long, items binary")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sets.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_compare_all(plan.percent), "a long, b long")
+
+
 def near_groups(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id and kept.
 
@@ -160,9 +242,9 @@ def near_groups(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
     (null, empty) are linked with nothing. Texts of the same words always belong together. A null id is in no component
     (component_id is null; kept). Rows of one id are one document, linked by any of its texts. Other columns are ignored.
 
-    Equal texts are merged before anything is compared. In each bucket all members are compared with its smallest id;
-    where that leaves a bucket with more than one component, its members of different components are compared with one
-    another. So every pair that shares a band is either connected or refuted, and no bucket is capped.
+    Equal texts are merged before anything is compared. In each bucket all members are compared with a few pivots; where
+    that leaves a bucket with more than one component, settle() compares its members of different components with one
+    another, block by block. So every pair that shares a band is either connected or refuted, and no bucket is capped.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -172,24 +254,20 @@ def near_groups(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
     heads = signed.df.where(F.col("_id").isNotNull() & (F.col("_n") > 0)).groupBy("_key").agg(F.min(F.struct("_id", "_n", "_bands")).alias("_rep"))
     bands = heads.select(F.explode("_rep._bands").alias("band"), F.col("_rep._id").alias("rep"), F.col("_rep._n").alias("n"))
     bands = store(bands, "bands")
-    seen = bands.df.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = store(bands.df.join(seen, "band").select("band", "rep", "n", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "shared")
+    pivots = [F.min(F.struct("rep", "n"))] + [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("_"), F.struct("rep", "n").alias("p")))["p"] for k in range(1, PIVOTS)]
+    seen = bands.df.groupBy("band").agg(F.array_distinct(F.array(*pivots)).alias("pivots"), F.min("rep").alias("low"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    shared = store(bands.df.join(seen, "band").select("band", "rep", "n", "pivots", "low"), "shared")
     bands.drop()
-    near = lambda x, y: 100 * F.least(x, y) >= plan.percent * F.greatest(x, y)
-    stars = store(shared.df.where((F.col("rep") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = store(confirm(rows, stars.df, plan), "links")
-    labels = components(links.df)
-    labelled = shared.df.join(labels.df, F.col("rep") == F.col("node"), "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    open_ = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    torn = store(labelled.join(open_, "band"), "torn")
+    stars = shared.df.select("rep", "n", F.explode("pivots").alias("pivot")).where((F.col("rep") != F.col("pivot.rep")) & (100 * F.least("n", "pivot.n") >= plan.percent * F.greatest("n", "pivot.n")))
+    stars = store(stars.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct(), "stars")
+    labels = components(confirm(rows, stars.df, plan))
+    labelled = shared.df.join(labels.df, F.col("rep") == F.col("node"), "left").select("band", "rep", "low", F.coalesce("label", "rep").alias("label"))
+    open_ = labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("band")
+    torn = store(labelled.join(open_, "band").select("low", "rep", "label").distinct(), "torn")
     shared.drop()
-    x, y = torn.df.alias("x"), torn.df.alias("y")
-    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.rep") < F.col("y.rep")) & near(F.col("x.n"), F.col("y.n")))
-    cross = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars.df, ["a", "b"], "left_anti")
-    cross = store(cross, "cross")
-    if not cross.df.isEmpty():
-        more = store(confirm(rows, cross.df, plan), "links")
-        labels = components(links.df.unionByName(more.df))
+    if not torn.df.isEmpty():
+        more = store(settle(rows, torn.df, plan), "more").df
+        labels = components(labels.df.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     named = classes.join(labels.df, F.col("_rep") == F.col("node"), "left").select("_key", "_count", F.coalesce("label", "_rep").alias("_component"))
     named = store(named, "named")
     out = attach(signed.df.select("_id", "_n", "_key"), named.df, "_key", "_count", total)
