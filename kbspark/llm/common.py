@@ -49,6 +49,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Call it when no result that reads them is needed any more."""
+    remove(spark, scratch_dir(spark))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
@@ -84,6 +89,28 @@ def attach(left: DataFrame, right: DataFrame, key: str, count: str, total: int)
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
+class IdFilter:
+    """Which ids may be in a set: one bit for each residue, so its size is bounded whatever the set's.
+
+    Two ids with one residue can't be told apart; a join after it settles that.
+    """
+
+    BITS = 1 << 26
+
+    def __init__(self, ids: DataFrame, column: str) -> None:
+        bit = F.pmod(F.col(column).bitwiseXOR(F.shiftright(F.col(column), 26)), F.lit(self.BITS)) + 1
+        parts = ids.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+        self.bits = np.zeros(self.BITS // 8, np.uint8)
+        for bucket, bits in parts.collect():
+            self.bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
+
+    def __contains__(self, id_: int | None) -> bool:
+        if id_ is None:
+            return False
+        b = (id_ ^ (id_ >> 26)) % self.BITS
+        return bool(self.bits[b >> 3] >> (b & 7) & 1)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -7,26 +7,31 @@ from pyspark.sql import functions as F
 
 from .common import Stored, store
 
+#: Edges for each file that a round writes, and files at least.
+FILE_EDGES, FILES = 500_000, 8
+
 
 def components(links: DataFrame) -> Stored:
     """node and label (the smallest node of its component) for every node of links (a, b).
 
     Each round writes its edges to shared storage. Both stars only ever link a node with a smaller one of its component,
-    so the rounds end when every node is linked with the smallest alone.
+    so the rounds end when the edges are stars: every node has one parent, and no parent has one.
     """
     edges = store(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
-    while (now := edges.df.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()) != mark:
-        mark = now
+    while True:
+        n, nodes = edges.df.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
+        if n == nodes and edges.df.join(edges.df.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break
+        files = max(FILES, -(-n // FILE_EDGES))
         both = edges.df.unionByName(edges.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = store(large, "edges")
+        large = store(large.coalesce(files), "edges")
         down = large.df.groupBy("u").agg(F.min("v").alias("m"))
         small = large.df.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        small = store(small, "edges")
+        small = store(small.coalesce(files), "edges")
         edges.drop()
         large.drop()
         edges = small
     labels = edges.df.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return store(labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct(), "labels")
+    return store(labels.unionByName(edges.df.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()).coalesce(max(FILES, -(-n // FILE_EDGES))), "labels")

@@ -9,10 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, WordHashes, as_bytes, attach, mix, rolling, store
+from .common import IdFilter, Stored, WordHashes, as_bytes, attach, mix, rolling, store
 from .components import components
 
 #: Members that one task compares with a bucket's pivot at a time, and pivots of a bucket.
@@ -91,29 +92,39 @@ def _sign(plan: Plan):
     return run
 
 
-def _emit_sets(plan: Plan, labels: bool = False):
-    """A row with the full set of a document for each group that needs it."""
-    own = [("label", pa.int64())] if labels else [("salt", pa.int32()), ("member", pa.bool_())]
-    schema = pa.schema([("grp", pa.int64()), *own, ("id", pa.int64()), ("items", pa.binary())])
+def _emit_sets(plan: Plan, needed: Broadcast):
+    schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, wanted = WordHashes(), needed.value
         for batch in source:
-            rows, size = [], 0
-            for id_, text, needs in zip(batch.column("_id").to_pylist(), as_bytes(batch.column("_text")), batch.column("_needs").to_pylist(), strict=True):
-                items = shingles(text.lower().split() if text else [], plan.width, hashes).tobytes()
-                for need in needs:
-                    rows.append((*need.values(), id_, items))
-                    size += len(items)
+            texts, out, size = batch.column("_text"), [], 0
+            for i, id_ in enumerate(batch.column("_id").to_pylist()):
+                if id_ not in wanted:
+                    continue
+                text = as_bytes(texts.slice(i, 1))[0]
+                out.append((id_, shingles(text.lower().split() if text else [], plan.width, hashes).tobytes()))
+                size += len(out[-1][1])
                 if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
+def full_sets(docs: DataFrame, needs: DataFrame, plan: Plan) -> DataFrame:
+    """needs (id and what else) with items, the full shingle set of the document.
+
+    Sets are built where the texts are read, and only of documents that a bounded filter doesn't rule out, so no text is
+    shuffled. docs: _id, _text.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(IdFilter(needs.select("id"), "id"))
+    sets = docs.mapInArrow(_emit_sets(plan, shared), "id long, items binary")
+    return sets.join(needs, "id")
+
+
 def _compare(percent: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, pivots = None, []
@@ -148,10 +159,10 @@ def confirm(docs: DataFrame, pairs: DataFrame, plan: Plan) -> DataFrame:
     """
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     dealt = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP_MEMBERS)).cast("int"))
-    members = dealt.select(F.col("b").alias("_needed"), F.col("a").alias("grp"), "salt", F.lit(True).alias("member"))
-    pivots = counts.select(F.col("a").alias("_needed"), F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / GROUP_MEMBERS).cast("int") - 1)).alias("salt"), F.lit(False).alias("member"))
-    needs = members.unionByName(pivots).groupBy("_needed").agg(F.collect_list(F.struct("grp", "salt", "member")).alias("_needs"))
-    sets = docs.join(needs, docs["_id"] == needs["_needed"]).select("_id", "_text", "_needs").mapInArrow(_emit_sets(plan), "grp long, salt int, member boolean, id long, items binary")
+    members = dealt.select(F.col("b").alias("id"), F.col("a").alias("grp"), "salt", F.lit(True).alias("member"))
+    pivots = counts.select(F.col("a").alias("id"), F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / GROUP_MEMBERS).cast("int") - 1)).alias("salt"), F.lit(False).alias("member"))
+    needs = store(members.unionByName(pivots), "needs").df
+    sets = full_sets(docs, needs, plan).select("grp", "salt", "member", "id", "items")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sets.repartition(parts, "grp", "salt").sortWithinPartitions("grp", "salt", "member").mapInArrow(_compare(plan.percent), "a long, b long")
 
@@ -228,8 +239,8 @@ def settle(docs: DataFrame, torn: DataFrame, plan: Plan) -> DataFrame:
     tiles = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.whole") == F.col("y.whole"), F.lit(False)))
     tiles = tiles.select(F.array(F.col("x.block"), F.col("y.block")).alias("two"), F.xxhash64("x.block", "y.block").alias("grp"))
     tiles = tiles.select(F.explode(F.array_distinct("two")).alias("block"), "grp")
-    needs = blocks.join(tiles, "block").groupBy("rep").agg(F.collect_list(F.struct("grp", "label")).alias("_needs"))
-    sets = docs.join(needs, docs["_id"] == needs["rep"]).select("_id", "_text", "_needs").mapInArrow(_emit_sets(plan, labels=True), "grp long, label long, id long, items binary")
+    needs = store(blocks.join(tiles, "block").select(F.col("rep").alias("id"), "grp", "label").distinct(), "needs").df
+    sets = full_sets(docs, needs, plan)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sets.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_compare_all(plan.percent), "a long, b long")
 
@@ -254,10 +265,13 @@ def near_groups(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
     heads = signed.df.where(F.col("_id").isNotNull() & (F.col("_n") > 0)).groupBy("_key").agg(F.min(F.struct("_id", "_n", "_bands")).alias("_rep"))
     bands = heads.select(F.explode("_rep._bands").alias("band"), F.col("_rep._id").alias("rep"), F.col("_rep._n").alias("n"))
     bands = store(bands, "bands")
-    pivots = [F.min(F.struct("rep", "n"))] + [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("_"), F.struct("rep", "n").alias("p")))["p"] for k in range(1, PIVOTS)]
-    seen = bands.df.groupBy("band").agg(F.array_distinct(F.array(*pivots)).alias("pivots"), F.min("rep").alias("low"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    shared = store(bands.df.join(seen, "band").select("band", "rep", "n", "pivots", "low"), "shared")
+    several = bands.df.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "low")
+    met = store(bands.df.join(several, "band"), "met")
     bands.drop()
+    pivots = [F.min(F.struct("rep", "n"))] + [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("_"), F.struct("rep", "n").alias("p")))["p"] for k in range(1, PIVOTS)]
+    chosen = met.df.groupBy("band").agg(F.array_distinct(F.array(*pivots)).alias("pivots"))
+    shared = store(met.df.join(chosen, "band"), "shared")
+    met.drop()
     stars = shared.df.select("rep", "n", F.explode("pivots").alias("pivot")).where((F.col("rep") != F.col("pivot.rep")) & (100 * F.least("n", "pivot.n") >= plan.percent * F.greatest("n", "pivot.n")))
     stars = store(stars.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct(), "stars")
     labels = components(confirm(rows, stars.df, plan))
