@@ -55,7 +55,7 @@ def cmd_validate(spark, bundle, args):
     out = rows(findings.orderBy("rel_path", "severity", "field"))
     listed = listing.list_concepts(found.concepts)
     committed = scan.read_files(spark, bundle, "index.md").select(documents.folder_of(F.col("rel_path")).alias("dir"), F.decode("content", "UTF-8").alias("content"))
-    drift = rows(documents.drift(documents.generate_entries(listed), documents.parse_indexes(committed)))
+    drift = rows(documents.drift(documents.generate_entries(listed), committed))
     return {"findings": out, "index_drift": drift}, int(any(f["severity"] == "error" for f in out))
 
 

@@ -102,16 +102,16 @@ def render_indexes(entries: DataFrame) -> DataFrame:
     return grouped.select("dir", text.alias("body"))
 
 
-def drift(generated: DataFrame, committed: DataFrame) -> DataFrame:
+def drift(generated: DataFrame, indexes: DataFrame) -> DataFrame:
     """dir, link, finding: missing, dropped, stale or malformed. Entries are matched by link; of repeats the last counts.
 
-    Folders without a committed index are left out. committed is what parse_indexes() returns.
+    indexes has dir and content of the committed ones. Folders without one are left out.
     """
+    committed = parse_indexes(indexes)
     last = F.max(F.struct("ordinal", "heading", "title", "description"))
     new = generated.groupBy("dir", "link").agg(F.max(F.struct("heading", "title", "description")).alias("g"))
     old = committed.where("problem IS NULL").groupBy("dir", "link").agg(last.alias("c"))
-    there = committed.select("dir").distinct()
-    both = new.join(there, "dir", "left_semi").join(old, ["dir", "link"], "full_outer")
+    both = new.join(indexes.select("dir"), "dir", "left_semi").join(old, ["dir", "link"], "full_outer")
     differ = ~(F.col("g.heading").eqNullSafe(F.col("c.heading")) & F.col("g.title").eqNullSafe(F.col("c.title")) & F.col("g.description").eqNullSafe(F.col("c.description")))
     finding = F.when(F.col("c").isNull(), "missing").when(F.col("g").isNull(), "dropped").when(differ, "stale")
     found = both.select("dir", "link", finding.alias("finding")).where(F.col("finding").isNotNull())

@@ -395,7 +395,7 @@ def index_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.expr("p_type || '/' || p_brand").alias("dir"), F.expr("'# Kind-' || (p_size % 3) || ' B2C' || chr(10) || chr(10)").alias("heading"), F.expr(line).alias("line"))
     sections = rows.groupBy("dir", "heading").agg(F.concat("heading", F.array_join(F.sort_array(F.collect_list("line")), "\n")).alias("s"))
     committed = sections.groupBy("dir").agg(F.array_join(F.sort_array(F.collect_list("s")), "\n\n").alias("content"))
-    return documents.drift(documents.generate_entries(_parts(spark, sf_dir)), documents.parse_indexes(committed))
+    return documents.drift(documents.generate_entries(_parts(spark, sf_dir)), committed)
 
 
 def _log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
