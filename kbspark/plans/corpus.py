@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
+
 NL = "chr(10)"
 
 DOCUMENT_ID = "coalesce(source, 'none') || '/' || coalesce(lang, 'und') || '/doc-' || doc_id"
@@ -33,7 +35,8 @@ KINDS = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def head_of(kind: str) -> str:
