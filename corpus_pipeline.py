@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kbspark.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
 from kbspark.llm.common import store
-from kbspark.llm.queries import held_out
+from kbspark.llm.queries import held_out, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), name).df
     return STAGES[-1][1](spark, docs, sf_dir)
