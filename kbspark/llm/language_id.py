@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 TRAIN_ROWS = 3_000
 #: Buckets of hashed character n-grams (of 1 to 3 characters), and centroids for each language.
 BITS, CENTROIDS, ROUNDS = 13, 3, 10
-#: A text is rejected if its cosine is below this share of the least one among its language's training texts.
-REJECT = 0.25
+#: A text is rejected if its cosine is below MARGIN times this quantile of its language's training cosines at its length.
+QUANTILE, MARGIN = 0.01, 0.8
+#: Starts of training texts, in characters, that stand for short texts; cosines that a quantile is taken from, if there are.
+CUTS, ENOUGH = (2, 4, 8, 16, 32, 64, 128, 256), 50
 #: Label values that a model can hold; more are an error, as they are sent to every task.
 MOST_LANGUAGES = 5_000
 
@@ -53,6 +55,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
+    #: The least cosine that isn't rejected, for each language and band of lengths.
     least: np.ndarray
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
@@ -65,6 +68,15 @@ class Model:
         best = likeness.argmax(axis=1)
         return self.owner[best], np.clip(likeness[np.arange(len(best)), best], 0.0, 1.0)
 
+    def rejects(self, best: np.ndarray, cosine: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Whether each row with what predict() found is too far from its language for its length."""
+        return cosine < self.least[best, _band((counts > 0).sum(axis=1))]
+
+
+def _band(distinct: np.ndarray) -> np.ndarray:
+    """Lengths count in different n-grams, so that one word said a thousand times is as short as the word; bands are powers of 2."""
+    return np.log2(np.maximum(distinct, 1)).astype(np.int64)
+
 
 def _cluster(x: np.ndarray) -> np.ndarray:
     """Spherical k-means from the rows farthest from one another; no chance is involved."""
@@ -81,6 +93,39 @@ def _cluster(x: np.ndarray) -> np.ndarray:
     return c
 
 
+def _others(x: np.ndarray, c: np.ndarray, texts: list[list[tuple[np.ndarray, np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
+    """The bands and cosines of the vectors of each row (itself and its starts) with centroids that the row has no part in."""
+    own = (x @ c.T).argmax(axis=1)
+    sums = np.stack([x[own == k].sum(axis=0) for k in range(len(c))])
+    size, norm = np.bincount(own, minlength=len(c)), (sums * sums).sum(axis=1)
+    bands, cosines = [], []
+    for row, k, vectors in zip(x, own, texts, strict=True):
+        left = size - (np.arange(len(c)) == k)
+        if not left.any():
+            continue
+        rest = norm.copy()
+        rest[k] += 1 - 2 * (sums[k] @ row)
+        for seen, v in vectors:
+            dots = sums[:, seen] @ v
+            dots[k] -= row[seen] @ v
+            bands.append(len(seen))
+            cosines.append((dots / np.sqrt(np.maximum(rest, 1e-12)))[left > 0].max())
+    return _band(np.array(bands, np.int64)), np.array(cosines)
+
+
+def _limits(bands: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The least cosine kept in each band. A band of too few cosines is joined by the shorter ones next to it, then by longer ones."""
+    order = np.argsort(bands, kind="stable")
+    bands, cosines, out = bands[order], cosines[order], np.zeros(BITS + 1)
+    for b in range(BITS + 1 if len(bands) else 0):
+        start, end = np.searchsorted(bands, [b, b + 1])
+        start = max(0, min(start, end - ENOUGH))
+        start = np.searchsorted(bands, bands[min(start, len(bands) - 1)])
+        end = min(len(bands), max(end, start + ENOUGH))
+        out[b] = MARGIN * np.quantile(cosines[start:end], QUANTILE)
+    return out
+
+
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows with a language. At most about TRAIN_ROWS whole texts are used, and only their counts move."""
     known = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
@@ -88,7 +133,7 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
-        return Model([], np.ones(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), np.zeros(0, np.int64), np.zeros(0))
+        return Model([], np.ones(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), np.zeros(0, np.int64), np.zeros((0, BITS + 1)))
     quota = max(1, TRAIN_ROWS // len(sizes))
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["_lang"]), F.lit(min(1.0, quota / r["count"])))])
     drawn = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.try_element_at(share, F.col("_lang")) * F.lit(float(1 << 30)))
@@ -97,26 +142,35 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for batch in source:
             out = []
             for lang, text in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                if (grams := n_grams(text)) is not None:
-                    seen, n = np.unique(grams, return_counts=True)
-                    out.append((lang, seen.astype(np.uint16).tobytes(), n.astype(np.float32).tobytes()))
+                starts = [n_grams(text), *(n_grams(text[:c]) for c in CUTS if c < len(text))]
+                if starts[0] is not None:
+                    found = [np.unique(g, return_counts=True) for g in starts if g is not None]
+                    out.append((lang, *(b"".join(x[i].astype(t).tobytes() for x in found) for i, t in ((0, np.uint16), (1, np.float32))), [len(x[0]) for x in found]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["lang", "seen", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("lang", pa.string()), ("seen", pa.binary()), ("n", pa.binary()), ("sizes", pa.list_(pa.int32()))]))
 
-    sample = sorted(drawn.select("_lang", "_text").mapInArrow(counted, "lang string, seen binary, n binary").collect())
+    sample = sorted(drawn.select("_lang", "_text").mapInArrow(counted, "lang string, seen binary, n binary, sizes array<int>").collect())
     languages = sorted({r["lang"] for r in sample})
     counts = np.zeros((len(sample), 1 << BITS), np.float32)
+    texts = []
     for i, r in enumerate(sample):
-        counts[i, np.frombuffer(r["seen"], np.uint16)] = np.frombuffer(r["n"], np.float32)
+        at = np.cumsum(r["sizes"])[:-1]
+        texts.append(list(zip(np.split(np.frombuffer(r["seen"], np.uint16), at), np.split(np.frombuffer(r["n"], np.float32), at), strict=True)))
+        counts[i, texts[i][0][0]] = texts[i][0][1]
     label = np.array([languages.index(r["lang"]) for r in sample], np.int64)
     idf = (np.log((1 + len(sample)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model(languages, idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, np.int64), np.zeros(len(languages)))
-    x = model.weigh(counts)
+    model = Model(languages, idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, np.int64), np.zeros((len(languages), BITS + 1)))
+    for start in range(0, len(counts), 256):  # in place, as the counts of all rows are the largest thing that the driver holds
+        counts[start : start + 256] = model.weigh(counts[start : start + 256])
+    x = counts
     groups = [_cluster(x[label == k]) for k in range(len(languages))]
     if groups:
         model.centroids = np.concatenate(groups).astype(np.float32)
         model.owner = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-        model.least = np.array([(x[label == k] @ groups[k].T).max(axis=1).min() for k in range(len(groups))])
+        weighed = [[(seen, (w := np.log1p(n) * idf[seen]) / max(np.linalg.norm(w), 1e-12)) for seen, n in t] for t in texts]
+        found = [_others(x[label == k], groups[k], [weighed[i] for i in np.flatnonzero(label == k)]) for k in range(len(groups))]
+        anywhere = tuple(np.concatenate(c) for c in zip(*found, strict=True))
+        model.least = np.stack([_limits(*(f if len(f[0]) else anywhere)) for f in found])
     return model
 
 
@@ -124,8 +178,8 @@ def identify(rows: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """One row per row: id_col, lang_pred, score (the cosine, 0 to 1) and rejected.
 
     lang_pred is the language of the nearest centroid, or und (score 0, rejected) if the text is null or has no letter,
-    or if nothing was learned. A text farther from all centroids than any training text, by a margin, is rejected but
-    keeps its nearest language. Only the two named columns are read. Whole texts count. The model has a bounded size:
+    or if nothing was learned. A text farther from its nearest centroid, by MARGIN, than all but the QUANTILE of that language's
+    training texts of its length are from centroids of the others is rejected but keeps its nearest language. Only the two named columns are read. Whole texts count. The model has a bounded size:
     MOST_LANGUAGES times CENTROIDS vectors; rows are scored where they are read.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -143,7 +197,7 @@ def identify(rows: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 counts = np.stack([np.bincount(grams[i], minlength=1 << BITS).astype(np.float32) for i in there])
                 best, cosine = m.predict(counts)
                 at = start + np.array(there)
-                score[at], rejected[at] = cosine, cosine < REJECT * m.least[best]
+                score[at], rejected[at] = cosine, m.rejects(best, cosine, counts)
                 for i, k in zip(at, best, strict=True):
                     lang[i] = m.languages[k]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(lang), pa.array(score), pa.array(rejected)], names=["_id", "lang_pred", "score", "rejected"])
@@ -166,8 +220,8 @@ def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> Data
                     if g is None or not m.languages:
                         keep.append(False)
                         continue
-                    best, cosine = m.predict(np.bincount(g, minlength=1 << BITS).astype(np.float32)[None])
-                    keep.append(bool(cosine[0] >= REJECT * m.least[best[0]]))
+                    counts = np.bincount(g, minlength=1 << BITS).astype(np.float32)[None]
+                    keep.append(not m.rejects(*m.predict(counts), counts)[0])
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(chosen, docs.schema)

@@ -143,6 +143,34 @@ def test_language(spark):
     assert language_id.identify(odd.limit(0), model).count() == 0
 
 
+STRANGERS = [
+    "La lingua italiana è una lingua romanza parlata principalmente in Italia. È classificata al ventisettesimo posto tra le lingue per numero di parlanti nel mondo. Nel corso dei secoli la letteratura ha avuto una grande importanza nella formazione della lingua comune, che gli scrittori hanno adattato alle esigenze del loro tempo.",
+    "Język polski jest językiem z grupy zachodniosłowiańskiej, do której należą również czeski, kaszubski, słowacki i języki łużyckie. Jest językiem urzędowym w Polsce oraz jednym z języków urzędowych Unii Europejskiej. Ocenia się, że jest językiem ojczystym około czterdziestu milionów ludzi na świecie.",
+    "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli, jota puhuvat pääosin suomalaiset. Suomessa suomen kieli on toinen maan virallisista kielistä, ja sitä puhuu äidinkielenään noin viisi miljoonaa ihmistä. Kielen sanasto on suurelta osin omaperäistä.",
+    "Het Nederlands is een West-Germaanse taal, de meest gebruikte taal in Nederland en België, de officiële taal van Suriname en een van de drie officiële talen van België. Het is de derde meest gesproken Germaanse taal, en wordt door ruim twintig miljoen mensen als moedertaal gesproken.",
+    "Kiswahili ni lugha ya Kibantu yenye misamiati mingi ya Kiarabu lakini sasa ya Kiingereza pia, inayozungumzwa katika eneo kubwa la Afrika ya Mashariki. Lugha hii ina utajiri mkubwa wa misamiati na misemo na mithali na mashairi na mafumbo na vitendawili na nyimbo.",
+]
+
+
+def test_strangers_are_rejected_and_short_texts_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = language_id.fit(docs.where(~held))
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(STRANGERS)], "doc_id long, text string")
+    assert all(x.rejected for x in language_id.identify(odd, model).collect())
+    assert language_id.drop_rejected(odd, model).count() == 0
+    rate = F.avg(F.col("rejected").cast("int"))
+    short, long = (docs.where(held & c) for c in ((F.length("text") < 100) & ~F.col("text").contains("licens"), F.length("text") >= 300))
+    assert short.count() > 4 and language_id.identify(short, model).where("rejected").count() == 0
+    for n in (5, 20, 60, 1 << 30):
+        assert language_id.identify(long.withColumn("text", F.substring("text", 1, n)), model).select(rate).first()[0] < 0.02
+    for lang in model.languages:  # each is a stranger to the others
+        rest = language_id.fit(docs.where(~held & (F.col("lang") != lang)))
+        assert language_id.identify(docs.where((F.col("lang") == lang) & (F.length("text") >= 300)), rest).select(rate).first()[0] > 0.95
+    few = language_id.fit(spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "the dog sat on the log", "en"), (3, "le chat est sur le lit", "fr")], "doc_id long, text string, lang string"))
+    assert few.least.shape == (2, language_id.BITS + 1) and (few.least < 0.8).all()
+
+
 def test_ordinal_model_orders_grades():
     r = np.random.default_rng(1)
     grades = r.integers(0, 3, 900)
