@@ -116,7 +116,19 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with its own columns, without the rows whose text a row with a smaller id has, or any id if theirs is null."""
-    gone = find_repeats(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("digest").alias("_of")).distinct()
+    """docs, with its own columns, with one row of each text: the one with the smallest id (null only if all ids are).
+
+    Of several rows with that id and text the one with the least JSON stays, so results don't depend on the run. Only
+    such rows are shuffled whole.
+    """
+    found = find_repeats(docs, id_col, text_col).where("group_size > 1").groupBy(F.col(id_col).alias("_cut"), F.col("digest").alias("_of"))
+    cut = store(found.agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("not _kept or _rows > 1"), "cut").df
     digest = F.unhex(F.sha2(normalised(docs[text_col]), 256))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (digest == gone["_of"]), "left_anti")
+    same = docs[id_col].eqNullSafe(cut["_cut"]) & (digest == cut["_of"])
+    left = docs.join(cut.select("_cut", "_of").hint("merge"), same, "left_anti")
+    again = cut.where("_kept")
+    if again.isEmpty():
+        return left
+    row = F.struct(*(docs[c] for c in docs.columns))
+    twins = docs.join(again, same).groupBy("_cut", "_of").agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    return left.unionByName(twins.select("_row.*"))

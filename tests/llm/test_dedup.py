@@ -71,6 +71,17 @@ def test_exact(spark, docs):
     assert {r.doc_id for r in left.collect()} == {k for _, k, *_ in expected}
 
 
+def test_repeated_rows_are_dropped(spark):
+    """One row of each text is left, also where rows share their id or have none."""
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (1, "a  b", "w"), (2, "a b", "x"), (None, "a b", "x"), (None, "n", "x"), (None, "n", "x"), (3, None, "x"), (3, "", None), (3, "c", "x"), (4, "d", "x"), (None, "d", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept string").repartition(3)
+    found = sorted((tuple(r) for r in exact_dedup.drop_repeats(docs).collect()), key=repr)
+    assert len(found) == 5 and {(i, " ".join((t or "").split())) for i, t, _ in found} == {(1, "a b"), (None, "n"), (3, ""), (3, "c"), (4, "d")}
+    assert sorted((tuple(r) for r in exact_dedup.drop_repeats(docs.repartition(5)).collect()), key=repr) == found
+    many = docs.where("doc_id = 4").crossJoin(spark.range(500)).select(docs.columns)
+    assert exact_dedup.drop_repeats(many).count() == 1
+
+
 def shingle_set(text, width):
     words = (text or "").translate({i: i + 32 for i in range(65, 91)})
     words = re.findall(r"[^\x20\x09-\x0D]+", words)
