@@ -14,7 +14,7 @@ from ..operators import context, documents, links, listing, mentions, search, va
 from ..sources import bundle as scan
 from ..sources import cache
 from ..sources.scratch import fresh_path
-from .corpus import CUSTOMER_BODY, DOCUMENT_FILE, DOCUMENT_ID, EDGES_SQL, NL, SEARCH_SQL, files, graph_bundle, graph_sql, search_rows, table
+from .corpus import CUSTOMER_BODY, DOCUMENT_FILE, DOCUMENT_ID, EDGES_SQL, KINDS, NL, SEARCH_SQL, files, graph_bundle, graph_sql, search_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -174,7 +174,7 @@ def href_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT source_concept_id, target_concept_id, target FROM ({EDGES_SQL}) WHERE source_concept_id = 'nation/7'")
 def links_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.links_from(_graph(spark, sf_dir, ("nation", "region")).links, "nation/7").select("source_concept_id", "target_concept_id", "target")
+    return links.links_from(_graph(spark, sf_dir).links, "nation/7").select("source_concept_id", "target_concept_id", "target")
 
 
 @query(f"SELECT source_concept_id, target_concept_id, target FROM ({EDGES_SQL}) WHERE target_concept_id = 'nation/7'")
@@ -545,6 +545,18 @@ def list_with_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("concept_id", "type", "title", "outbound", "inbound")
 
 
+_LISTED = " UNION ALL ".join(f"SELECT '{name}/' || {key} AS concept_id, '{name}' AS type, {title} AS title FROM {name}" for name, key, title, _ in KINDS)
+
+
+@query(f"""WITH e AS ({EDGES_SQL}), o AS (SELECT source_concept_id AS concept_id, count(*) AS n FROM e GROUP BY 1), i AS (SELECT target_concept_id AS concept_id, count(*) AS n FROM e GROUP BY 1)
+SELECT concept_id, type, title, coalesce(o.n, 0)::BIGINT AS outbound, coalesce(i.n, 0)::BIGINT AS inbound FROM ({_LISTED}) LEFT JOIN o USING (concept_id) LEFT JOIN i USING (concept_id)""")
+def list_all_with_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graph_bundle(spark, sf_dir)
+    concepts = rows.withColumn("frontmatter", F.to_json(F.struct(F.substring_index("concept_id", "/", 1).alias("type"), "title")))
+    listed = listing.with_graph(listing.list_concepts(concepts), links.degrees(rows, _edges(spark, sf_dir)))
+    return listed.select("concept_id", "type", "title", "outbound", "inbound")
+
+
 _SIDECAR = "CASE p_type WHEN 'ECONOMY' THEN 'title: Cheap parts' || chr(10) || 'description: All of them' WHEN 'SMALL' THEN '- no mapping' ELSE 'description: About ' || p_type END"
 
 

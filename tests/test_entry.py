@@ -40,3 +40,8 @@ def test_queries_agree_with_sql(spark, name):
     df = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert sorted(df.columns) == order
     assert sorted((tuple(r[c] for c in order) for r in df.collect()), key=repr) == wanted
+
+
+def test_all_kinds_are_listed_with_counts(spark):
+    found = plans.QUERIES["list_all_with_graph_counts"](spark, "/root/testdata/sf0.001").groupBy("type").count().collect()
+    assert {r["type"] for r in found} == {"customer", "supplier", "nation", "region", "part"}
