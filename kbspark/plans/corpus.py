@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import spread
-
 NL = "chr(10)"
 
 DOCUMENT_ID = "coalesce(source, 'none') || '/' || coalesce(lang, 'und') || '/doc-' || doc_id"
@@ -35,8 +33,9 @@ KINDS = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name == "documents" else rows
+    """A table as its files split it. kbspark.scanPartitions, if a session sets it, deals documents and pages to so many tasks."""
+    rows, parts = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.conf.get("kbspark.scanPartitions", None)
+    return rows.repartition(int(parts)) if parts and name in ("documents", "pages") else rows
 
 
 def head_of(kind: str) -> str:

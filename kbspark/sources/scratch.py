@@ -8,26 +8,64 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder. A temporary folder is used only where spark.checkpoint.dir is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_kbspark_tables", None)
+class NoSharedFolder(RuntimeError):
+    """A cluster without spark.checkpoint.dir: what one machine writes the others would not see."""
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder under spark.checkpoint.dir.
+
+    Only a session whose executors are threads of the driver (a local master) may go without the setting and gets a
+    temporary folder; any other is refused, as tables written to a machine's own disk would be read back incomplete.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_kbspark_scratch", None)
     if not base:
-        base = spark._kbspark_tables = "file://" + tempfile.mkdtemp(prefix="kbspark-tables-")
-    return f"{base}/kbspark-tables-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise NoSharedFolder(f"set spark.checkpoint.dir to a folder that all machines share (master {master})")
+        base = spark._kbspark_scratch = "file://" + tempfile.mkdtemp(prefix="kbspark-")
+    return f"{base}/kbspark-{spark.sparkContext.applicationId}"
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write df and read it back."""
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path through Hadoop's file system, whatever store holds it."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Call it when no result that reads them is needed any more."""
+    remove(spark, scratch_dir(spark))
+
+
+class Stored:
+    """A table written to the scratch folder. df reads it; drop() deletes its files."""
+
+    def __init__(self, spark: SparkSession, path: str, schema) -> None:
+        self.spark, self.path = spark, path
+        self.df = spark.read.schema(schema).parquet(path)
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+
+
+def stored(df: DataFrame, label: str) -> Stored:
+    """Write df as Parquet to shared storage and read it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Stored(spark, path, df.schema)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """scan, dealt to all cores if its files give fewer partitions than there are: then there is little to move.
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write df and read it back."""
+    return stored(df, label).df
 
-    A scan with partitions enough is returned as it is, so large inputs are never shuffled for this.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+def spread(scan: DataFrame) -> DataFrame:
+    return scan
