@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
+
+from ..sources.scratch import Stored, fresh_path  # noqa: F401
+from ..sources.scratch import stored as store  # noqa: F401
 
 #: The white space of every word contract: space and the five ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,52 +22,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORDS_REMEMBERED = 250_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_kbspark_scratch", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="kbspark-")
-            spark._kbspark_scratch = base
-    return f"{base}/kbspark-{spark.sparkContext.applicationId}"
-
-
-class Stored:
-    """A table written to the scratch folder. df reads it; drop() deletes its files."""
-
-    def __init__(self, spark: SparkSession, path: str, schema) -> None:
-        self.spark, self.path = spark, path
-        self.df = spark.read.schema(schema).parquet(path)
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system, whatever store holds it."""
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Delete all scratch tables of this application. Call it when no result that reads them is needed any more."""
-    remove(spark, scratch_dir(spark))
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def store(df: DataFrame, label: str) -> Stored:
-    """Write df as Parquet to shared storage and read it back: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return Stored(spark, path, df.schema)
-
-
 def lower_az(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,39 +32,62 @@ def normalised(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " ")
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """left inner join right on key, where right has one row per key and in count how many rows of left carry it.
+def own_id(rows: DataFrame, column: str) -> tuple[Column, str, pa.DataType]:
+    """An id as the operators hold it, with its types: integers as long, anything else as a string, ordered as such."""
+    whole = isinstance(rows.schema[column].dataType, (ByteType, ShortType, IntegerType, LongType))
+    return F.col(column).cast("long" if whole else "string"), "long" if whole else "string", pa.int64() if whole else pa.string()
+
+
+#: A key is hot with at least this share of the rows, and with as many rows at least. At most 1,000 keys are hot.
+HOT_SHARE, HOT_ROWS = 1_000, 200
 
-    Keys with at least a thousandth of the rows (and 200 rows) number at most 1,000, so they can always be broadcast;
-    the others go through a shuffle, in which no key then has more than a thousandth of the rows. Both inputs are read twice, so
-    pass stored tables.
+
+def attach(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """left join right on key (inner or left_anti), where right has one row per key and in count how many rows of left carry it.
+
+    total: the rows of left. Keys with at least a thousandth of them (and 200 rows) number at most 1,000, so they can
+    always be broadcast; the others go through a shuffle, in which no key then has more than a thousandth of the rows.
+    Both inputs are read twice, so pass stored tables.
     """
-    floor = max(total // 1000, 200)
+    floor = max(total // HOT_SHARE, HOT_ROWS)
     hot = F.broadcast(right.where(F.col(count) >= floor))
     cold = right.where(F.col(count) < floor)
-    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
+    rest = left.join(hot.select(key), key, "left_anti")
+    return rest.join(cold, key, how) if how == "left_anti" else left.join(hot, key).unionByName(rest.join(cold, key))
+
 
+#: Bits of a filter for each member, and bits of one at most (as a power of 2: 32 MB).
+FILTER_BITS, MOST_BITS = 16, 28
 
-class IdFilter:
-    """Which ids may be in a set: one bit for each residue, so its size is bounded whatever the set's.
 
-    Two ids with one residue can't be told apart; a join after it settles that.
+def marked(rows: DataFrame, key: Column, members: DataFrame, member: str, flag: str = "_maybe") -> DataFrame:
+    """rows with a boolean flag, which is false only where key is not among the values of member in members.
+
+    A bitmap has a bit for each residue of the members' hashes. It is sized by their count up to 32 MB, so it can always
+    be broadcast; with far more members than bits it lets all rows through, which then take the way of the members.
+    Built-in functions only. members is read twice, so pass a stored table.
     """
+    bits = min(MOST_BITS, max(15, (FILTER_BITS * members.count()).bit_length()))
+    residue = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)) + 1
+    of = members.select(residue(F.col(member)).alias("_r"))
+    parts = of.groupBy(F.bitmap_bucket_number("_r").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_r")).alias("_bits"))
+    at = F.bitmap_bit_position(residue(key))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(parts), F.bitmap_bucket_number(residue(key)) == F.col("_bucket"), "left")
+    return found.withColumn(flag, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")
 
-    BITS = 1 << 26
 
-    def __init__(self, ids: DataFrame, column: str) -> None:
-        bit = F.pmod(F.col(column).bitwiseXOR(F.shiftright(F.col(column), 26)), F.lit(self.BITS)) + 1
-        parts = ids.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
-        self.bits = np.zeros(self.BITS // 8, np.uint8)
-        for bucket, bits in parts.collect():
-            self.bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
+def without(rows: DataFrame, id_col: str, gone: DataFrame, total: int) -> DataFrame:
+    """rows, with its own columns, without those whose id is in gone (_gone: an id, _rows: how many rows have it).
 
-    def __contains__(self, id_: int | None) -> bool:
-        if id_ is None:
-            return False
-        b = (id_ ^ (id_ >> 26)) % self.BITS
-        return bool(self.bits[b >> 3] >> (b & 7) & 1)
+    Rows that the filter of marked() clears are kept where they are read; only the others are shuffled. Null ids stay.
+    """
+    held = [rows[c] for c in rows.columns]
+    keyed = rows.select(F.struct(*held).alias("_row"), own_id(rows, id_col)[0].alias("_gone"))
+    keyed = marked(keyed, F.col("_gone"), gone, "_gone")
+    kept = keyed.where(~F.col("_maybe") | F.col("_gone").isNull())
+    rest = attach(keyed.where(F.col("_maybe") & F.col("_gone").isNotNull()), gone, "_gone", "_rows", total, "left_anti")
+    return kept.select("_row.*").unionByName(rest.select("_row.*"))
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -7,15 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import spread
+from ..plans.corpus import table
 from . import chat_format, decontaminate, exact_dedup, language_id, near_dedup, packing, quality, sharding, substring_dedup, warc
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in ("documents", "pages") else rows
-
-
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
@@ -141,13 +136,13 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
-    n_hit = decontaminate.hit_words(F.col("spans"))
+    n_hit, names = decontaminate.hit_words(F.col("spans")), F.array_sort("matches.item")
     return found.select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        F.size("matches").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
 
