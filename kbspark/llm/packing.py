@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, lower_az, normalised, store
+from .common import WORD, lower_az, normalised, own_id, store
 
-#: Items that one task packs together on average.
-GROUP_ITEMS = 2_048
+#: Items that one task packs together on average, and copies of a repeated row that are dealt to a group at a time.
+GROUP_ITEMS, DEALT = 2_048, 16
 
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -43,9 +43,6 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     return out
 
 
-_PACKED = pa.schema([("_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("size", pa.int64()), ("bin_id", pa.int64()), ("bin_offset", pa.int64())])
-
-
 def _bits(values: list, alone_counts: bool) -> list[int]:
     """Numbers from 0 for the values that more than one item has (or all); null conflicts with nothing."""
     seen: dict = {}
@@ -55,10 +52,14 @@ def _bits(values: list, alone_counts: bool) -> list[int]:
     return [number.get(v, -1) for v in values]
 
 
-def _pack_group(capacity: int):
+def _pack_group(capacity: int, id_type: pa.DataType):
+    schema = pa.schema([("_id", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("size", pa.int64()), ("bin_id", pa.int64()), ("bin_offset", pa.int64())])
+
     def run(table: pa.Table) -> pa.Table:
         group = table["_group"][0].as_py()
-        rows = sorted(zip(*(table[c].to_pylist() for c in ("_size", "_id", "_source", "_cluster")), strict=True), key=lambda r: (-(r[0] % capacity), -r[0], r[1] is None, r[1] or 0, str(r[2:])))
+        rows = zip(*(table[c].to_pylist() for c in ("_size", "_id", "_source", "_cluster", "_copies")), strict=True)
+        rows = [r[:4] for r in rows for _ in range(r[4])]
+        rows.sort(key=lambda r: (-(r[0] % capacity), -r[0], r[1] is not None, r[1] if r[1] is not None else 0, str(r[2:])))
         rest = [r for r in rows if r[0] % capacity]
         placed = best_fit([r[0] % capacity for r in rest], _bits([r[2] for r in rest], True), _bits([r[3] for r in rest], False), capacity)
         base, used = group << 32, 1 + max((b for b, _ in placed), default=-1)
@@ -69,30 +70,46 @@ def _pack_group(capacity: int):
                 used += 1
         for (size, id_, *_), (bin_, offset) in zip(rest, placed, strict=True):
             out.append((id_, size // capacity, size // capacity * capacity, size % capacity, base + bin_, offset))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PACKED, strict=True)], schema=_PACKED)
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
+def deal(items: DataFrame, total: int) -> DataFrame:
+    """items (_id, _size, _source, _cluster) with _group and _copies, the number of such rows in the group.
+
+    Rows alike in all four columns can stand for one another, so they are counted first; their copies are dealt a few at a
+    time. So no group gets many more than GROUP_ITEMS items, whatever ids, sizes, sources or clusters the rows share.
+    """
+    alike = items.groupBy("_id", "_size", "_source", "_cluster").agg(F.count(F.lit(1)).alias("_n"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / DEALT).cast("long"))).alias("_part")
+    dealt = alike.select("*", part).withColumn("_copies", F.least(F.lit(DEALT), F.col("_n") - F.col("_part") * DEALT))
+    groups = max(1, -(-total // GROUP_ITEMS))
+    return dealt.withColumn("_group", F.pmod(F.xxhash64("_id", "_size", "_source", "_cluster", "_part", F.lit(3)), F.lit(groups))).drop("_n", "_part")
+
+
 def pack(docs: DataFrame, capacity: int = 2_048, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, cluster: Column | None = None) -> DataFrame:
     """One row per piece of a row of docs: id_col, piece, start, size, bin_id and bin_offset.
 
     size defaults to the text's words plus one, for the mark of its end; null and empty texts have that mark alone.
     A text longer than capacity is cut: its full pieces fill bins of their own, the rest is packed like any other text.
-    No bin holds more than capacity, two rests of one source, or two of one cluster (by default the lower-cased text
-    with its runs of white space as one space). Null sources and clusters conflict with nothing. Repeated rows are packed
-    each by itself. Other columns are ignored. An empty table gives no rows.
+    No bin holds more than capacity, two rests of one source, or two of one cluster. Clusters are texts equal but for
+    case and white space; a caller who knows clusters of near copies passes their column. Null sources and clusters
+    conflict with nothing. Integer ids come back as long, others as strings; rows with null or equal ids and repeated
+    rows are packed each by itself. Other columns are ignored. An empty table gives no rows.
 
     Only sizes, sources and clusters move. Rows are dealt by a hash to groups of bounded size that are packed on their
-    own, so a hot source or cluster is spread over all groups. Ties are broken by id, so results don't depend on the run.
+    own, so a hot source, cluster, id or row is spread over all groups. Ties are broken by size, id, source and cluster, so
+    results don't depend on the run.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)) + 1 if size is None else size
     cluster = F.xxhash64(lower_az(normalised(F.col(text_col)))) if cluster is None else cluster
-    items = store(docs.select(F.col(id_col).cast("long").alias("_id"), size.cast("long").alias("_size"), F.col(source_col).cast("string").alias("_source"), cluster.alias("_cluster")), "items").df
-    groups = max(1, -(-items.count() // GROUP_ITEMS))
-    dealt = items.withColumn("_group", F.pmod(F.xxhash64("_id", "_size", F.lit(3)), F.lit(groups)))
-    packed = dealt.groupBy("_group").applyInArrow(_pack_group(capacity), "_id long, piece int, start long, size long, bin_id long, bin_offset long")
+    id_, kind, arrow = own_id(docs, id_col)
+    items = store(docs.select(id_.alias("_id"), size.cast("long").alias("_size"), F.col(source_col).cast("string").alias("_source"), cluster.alias("_cluster")), "items").df
+    total, tasks = items.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = deal(items, total).repartition(max(1, min(tasks, -(-total // GROUP_ITEMS))), "_group")  # few bytes, but work enough for a task each
+    packed = dealt.groupBy("_group").applyInArrow(_pack_group(capacity, arrow), f"_id {kind}, piece int, start long, size long, bin_id long, bin_offset long")
     return packed.withColumnRenamed("_id", id_col)
 
 
-__all__ = ["best_fit", "pack"]
+__all__ = ["best_fit", "deal", "pack"]
