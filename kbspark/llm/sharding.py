@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import attach, store
 
 #: Rows of a cell on average, and cells at least. A cell is the unit in which rows are sorted and numbered.
 CELL_ROWS, CELLS = 20_000, 64
 
 
+def _numbered(rows: DataFrame, order: list[str], cells: int, label: str) -> DataFrame:
+    """rows with _at, their place (from 0) in the order of all rows; stored.
+
+    Rows are cut by ranges of the whole order, so rows that agree in its first columns needn't share a cell, and sorted
+    and numbered within a cell. Only the counts of cells meet in one task.
+    """
+    ranged = rows.repartitionByRange(cells, *order).sortWithinPartitions(*order)
+    ranged = store(ranged.withColumns({"_cell": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), label).df
+    counts = ranged.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_before"))
+    return ranged.join(before, "_cell").withColumn("_at", F.col("_before") + F.col("_in")).drop("_cell", "_in", "_before")
+
+
 def interleave(rows: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", stratum_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """Give each row of rows a shard (0 to shards - 1) and a slot (from 0, without gaps) in it.
 
@@ -19,29 +32,22 @@ def interleave(rows: DataFrame, shards: int = 16, seed: int = 17, id_col: str =
     within a row or two the mixture of the whole, and counts at most one apart. Result: id_col, stratum_col, the columns
     named in carry, fraction, position, shard, slot.
 
-    Null strata are a stratum of their own; null ids hash as empty; rows with equal ids follow one another. No column but
-    those named is read. An empty table gives no rows. Ranks are found without a task for a whole stratum: the hash range
-    is cut into cells, cells are counted, and a row's rank is the count of the cells before plus its number in its cell.
+    Null strata are a stratum of their own; null ids hash as empty; rows with equal ids follow one another, by the columns
+    in carry. Ids may have any type. No column but those named is read. An empty table gives no rows. No task holds a
+    stratum, a fraction or an id: all rows are cut into cells of about CELL_ROWS by the whole order, in which rows alike in
+    all columns are told apart by a number given when they were stored.
     """
     total = rows.count()
     cells = max(CELLS, -(-total // CELL_ROWS))
     mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    own = [id_col, stratum_col, *carry]
-    narrow = rows.select(*own).withColumns({"_key": mixed, "_stratum": F.coalesce(F.concat(F.lit("s"), F.col(stratum_col).cast("string")), F.lit("n"))})
-    narrow = store(narrow.withColumn("_cell", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * cells / F.lit(2.0**32)).cast("long")), "strata").df
-    counts = narrow.groupBy("_stratum", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_stratum").orderBy("_cell")
-    counts = counts.select("_stratum", "_cell", (F.sum("_n").over(before) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("_stratum")).alias("_of"))
-    ties = [F.col(c) for c in (id_col, *carry)]
-    in_cell = F.row_number().over(Window.partitionBy("_stratum", "_cell").orderBy("_key", *ties))
-    fraction = (2.0 * (F.col("_before") + F.col("_rank")) - 1.0) / (2.0 * F.col("_of"))
-    ranked = narrow.withColumn("_rank", in_cell).join(counts, ["_stratum", "_cell"]).withColumn("fraction", fraction)
-    ranked = store(ranked.select(*own, "_key", "fraction", F.floor(F.col("fraction") * cells).cast("long").alias("_band")), "ranked").df
-    bands = ranked.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"))
-    bands = bands.select("_band", (F.sum("_n").over(Window.orderBy("_band")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_band").orderBy("fraction", "_key", *ties))
-    placed = ranked.withColumn("_rank", place).join(bands, "_band").withColumn("position", F.col("_before") + F.col("_rank") - 1)
-    shard = F.expr(f"position * {shards} div {max(total, 1)}")
-    placed = placed.withColumn("shard", shard.cast("int"))
-    first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
-    return placed.select(*own, "fraction", "position", "shard", (F.col("position") - first).alias("slot"))
+    own = [id_col, stratum_col, *(c for c in carry if c not in (id_col, stratum_col))]
+    narrow = rows.select(F.struct(*own).alias("_own"), mixed.alias("_key"), F.coalesce(F.concat(F.lit("s"), F.col(stratum_col).cast("string")), F.lit("n")).alias("_stratum"))
+    narrow = store(narrow.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id())), "strata").df
+    by_key = _numbered(narrow, ["_stratum", "_key", "_own", "_tie"], cells, "sorted")
+    strata = store(by_key.groupBy("_stratum").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_of")), "counts").df
+    fraction = (2.0 * (F.col("_at") - F.col("_first")) + 1.0) / (2.0 * F.col("_of"))
+    ranked = store(attach(by_key, strata, "_stratum", "_of", total).select("_own", "_key", "_tie", fraction.alias("_fraction")), "ranked").df
+    placed = _numbered(ranked, ["_fraction", "_key", "_own", "_tie"], cells, "placed")
+    placed = placed.withColumn("_shard", F.expr(f"_at * {shards} div {max(total, 1)}").cast("int"))
+    first = F.expr(f"(_shard * {total}L + {shards - 1}) div {shards}")
+    return placed.select("_own.*", F.col("_fraction").alias("fraction"), F.col("_at").alias("position"), F.col("_shard").alias("shard"), (F.col("_at") - first).alias("slot"))
