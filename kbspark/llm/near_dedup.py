@@ -9,11 +9,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Stored, WordHashes, as_bytes, attach, mix, rolling, store
+from .common import WordHashes, as_bytes, attach, marked, mix, own_id, rolling, store, without
 from .components import components
 
 #: Members that one task compares with a bucket's pivot at a time, and pivots of a bucket.
@@ -92,16 +91,19 @@ def _sign(plan: Plan):
     return run
 
 
-def _emit_sets(plan: Plan, needed: Broadcast):
-    schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
+def _id_type(docs: DataFrame) -> tuple[str, pa.DataType]:
+    _, kind, arrow = own_id(docs, "_id")
+    return kind, arrow
+
+
+def _emit_sets(plan: Plan, id_type: pa.DataType):
+    schema = pa.schema([("id", id_type), ("items", pa.binary())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, wanted = WordHashes(), needed.value
+        hashes = WordHashes()
         for batch in source:
             texts, out, size = batch.column("_text"), [], 0
             for i, id_ in enumerate(batch.column("_id").to_pylist()):
-                if id_ not in wanted:
-                    continue
                 text = as_bytes(texts.slice(i, 1))[0]
                 out.append((id_, shingles(text.lower().split() if text else [], plan.width, hashes).tobytes()))
                 size += len(out[-1][1])
@@ -115,17 +117,17 @@ def _emit_sets(plan: Plan, needed: Broadcast):
 
 
 def full_sets(docs: DataFrame, needs: DataFrame, plan: Plan) -> DataFrame:
-    """needs (id and what else) with items, the full shingle set of the document.
+    """needs (stored: id and what else) with items, the full shingle set of the document.
 
-    Sets are built where the texts are read, and only of documents that a bounded filter doesn't rule out, so no text is
-    shuffled. docs: _id, _text.
+    Sets are built where the texts are read, and only of documents that a bitmap of bounded size doesn't rule out, so no text
+    is shuffled. docs: _id, _text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(IdFilter(needs.select("id"), "id"))
-    sets = docs.mapInArrow(_emit_sets(plan, shared), "id long, items binary")
-    return sets.join(needs, "id")
+    kind, arrow = _id_type(docs)
+    wanted = marked(docs.where("_id IS NOT NULL"), F.col("_id"), needs, "id").where("_maybe").select("_id", "_text")
+    return wanted.mapInArrow(_emit_sets(plan, arrow), f"id {kind}, items binary").join(needs, "id")
 
 
-def _compare(percent: int):
+def _compare(percent: int, id_type: pa.DataType):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, pivots = None, []
         for batch in source:
@@ -146,31 +148,34 @@ def _compare(percent: int):
                         a.append(grp)
                         b.append(id_)
                         break
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type)], names=["a", "b"])
 
     return run
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets pass the threshold. docs: _id, _text.
+    """The pairs (a, b; stored) whose full shingle sets pass the threshold. docs: _id, _text.
 
     A set is built once for each document and sent to the groups it takes part in. The members of a popular a are dealt
     over several groups, each with a copy of a's set.
     """
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP_MEMBERS)).cast("int"))
+    kind, arrow = _id_type(docs)
+    counts = store(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "counts").df
+    dealt = attach(pairs, counts, "a", "n", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP_MEMBERS)).cast("int"))
     members = dealt.select(F.col("b").alias("id"), F.col("a").alias("grp"), "salt", F.lit(True).alias("member"))
     pivots = counts.select(F.col("a").alias("id"), F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / GROUP_MEMBERS).cast("int") - 1)).alias("salt"), F.lit(False).alias("member"))
     needs = store(members.unionByName(pivots), "needs").df
     sets = full_sets(docs, needs, plan).select("grp", "salt", "member", "id", "items")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.repartition(parts, "grp", "salt").sortWithinPartitions("grp", "salt", "member").mapInArrow(_compare(plan.percent), "a long, b long")
+    return sets.repartition(parts, "grp", "salt").sortWithinPartitions("grp", "salt", "member").mapInArrow(_compare(plan.percent, arrow), f"a {kind}, b {kind}")
 
 
-def _compare_all(percent: int):
+def _compare_all(percent: int, id_type: pa.DataType):
     """Tiles: all documents of different labels are compared, by the shingles that several of them have."""
 
-    def links(ids: list[int], labels: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    def links(ids: list, names: list, sets: list[np.ndarray]) -> Iterator[tuple]:
+        number = {x: i for i, x in enumerate(dict.fromkeys(names))}
+        labels = [number[x] for x in names]
         sizes = np.array([len(x) for x in sets])
         flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(flat, kind="stable")
@@ -200,7 +205,7 @@ def _compare_all(percent: int):
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, ids, labels, sets = None, [], [], []
-        found: list[tuple[int, int]] = []
+        found: list[tuple] = []
         for batch in source:
             for grp, label, id_, items in zip(*(batch.column(c).to_pylist() for c in ("grp", "label", "id", "items")), strict=True):
                 if grp != tile:
@@ -212,37 +217,52 @@ def _compare_all(percent: int):
                 sets.append(np.frombuffer(items, np.uint64))
         if len(set(labels)) > 1:
             found += links(ids, labels, sets)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], id_type), pa.array([x for _, x in found], id_type)], names=["a", "b"])
 
     return run
 
 
-def settle(docs: DataFrame, torn: DataFrame, plan: Plan) -> DataFrame:
-    """Links between documents of different labels in the buckets of torn (low, rep, label). docs: _id, _text.
+def _groups(torn: DataFrame) -> DataFrame:
+    """rep, label and grp, the sets of documents that are compared with one another: for torn (band, low, rep, label).
 
-    Buckets that share documents make a cluster. Its documents are cut into blocks, those of a large label into blocks
-    of their own, and any two blocks that aren't of one label meet in a task, which gets each full set once and returns
-    no more links than join the labels.
+    Buckets that share documents make a cluster. A cluster is one group if that takes fewer copies of sets than a group for
+    each of its buckets does, so a chain of many small buckets is never compared as a whole.
     """
     clusters = components(torn.select(F.col("rep").alias("a"), F.col("low").alias("b"))).df
-    members = torn.select("rep", "label").distinct().join(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "rep")
-    members = store(members, "members").df
-    by_label = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-    small = by_label.where(F.col("n") <= BLOCK_DOCS).groupBy("cluster").agg(F.sum("n").alias("small"))
+    placed = store(torn.join(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "rep"), "placed").df
+    copies = lambda n: n * F.ceil(n / BLOCK_DOCS)
+    by_band = placed.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum(copies(F.col("n"))).alias("apart"), F.sum("n").alias("rows"))
+    whole = placed.select("cluster", "rep").distinct().groupBy("cluster").agg(copies(F.count(F.lit(1))).alias("together"))
+    chosen = store(by_band.join(whole, "cluster").select("cluster", "rows", (F.col("together") <= F.col("apart")).alias("one")), "chosen").df
+    split = attach(placed, chosen, "cluster", "rows", placed.count())
+    return split.select("rep", "label", F.when(F.col("one"), F.xxhash64("cluster")).otherwise(F.xxhash64(F.lit("band"), "band")).alias("grp")).distinct()
+
+
+def settle(docs: DataFrame, torn: DataFrame, plan: Plan) -> DataFrame:
+    """Links between documents of different labels in the buckets of torn (stored: band, low, rep, label). docs: _id, _text.
+
+    The documents of a group are cut into blocks, those of a large label into blocks of their own, and any two blocks that
+    aren't of one label meet in a task, which gets each full set once and returns no more links than join the labels.
+    """
+    kind, arrow = _id_type(docs)
+    members = store(_groups(torn), "members").df
+    by_label = members.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
+    small = by_label.where(F.col("n") <= BLOCK_DOCS).groupBy("grp").agg(F.sum("n").alias("small"))
+    sizes = store(by_label.join(small, "grp", "left").withColumn("_of", F.struct("grp", "label")).drop("grp", "label"), "sizes").df
     large = F.col("n") > BLOCK_DOCS
     parts = F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / BLOCK_DOCS)
-    blocks = members.join(by_label, ["cluster", "label"]).join(small, "cluster", "left")
-    blocks = blocks.select("cluster", "rep", "label", F.when(large, F.col("label")).alias("whole"), F.pmod(F.xxhash64(F.when(large, F.col("rep")).otherwise(F.col("label"))), parts).alias("part"))
-    blocks = store(blocks.withColumn("block", F.xxhash64("cluster", F.coalesce("whole", F.lit(-1)), "part")), "blocks").df
-    kinds = blocks.select("cluster", "block", "whole").distinct()
+    blocks = attach(members.withColumn("_of", F.struct("grp", "label")), sizes, "_of", "n", members.count())
+    blocks = blocks.select("grp", "rep", "label", F.when(large, F.col("label")).alias("whole"), F.pmod(F.xxhash64(F.when(large, F.col("rep")).otherwise(F.col("label"))), parts).alias("part"))
+    blocks = store(blocks.withColumn("block", F.xxhash64("grp", "whole", F.col("whole").isNull(), "part")), "blocks").df
+    kinds = store(blocks.groupBy("grp", "block", "whole").agg(F.count(F.lit(1)).alias("docs")), "kinds").df
     x, y = kinds.alias("x"), kinds.alias("y")
-    tiles = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.whole") == F.col("y.whole"), F.lit(False)))
-    tiles = tiles.select(F.array(F.col("x.block"), F.col("y.block")).alias("two"), F.xxhash64("x.block", "y.block").alias("grp"))
-    tiles = tiles.select(F.explode(F.array_distinct("two")).alias("block"), "grp")
-    needs = store(blocks.join(tiles, "block").select(F.col("rep").alias("id"), "grp", "label").distinct(), "needs").df
+    tiles = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.whole") == F.col("y.whole"), F.lit(False)))
+    tiles = tiles.select(F.array(F.col("x.block"), F.col("y.block")).alias("two"), F.xxhash64("x.block", "y.block").alias("tile"))
+    tiles = tiles.select(F.explode(F.array_distinct("two")).alias("block"), "tile")
+    needs = store(blocks.join(tiles, "block").select(F.col("rep").alias("id"), F.col("tile").alias("grp"), "label").distinct(), "needs").df
     sets = full_sets(docs, needs, plan)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_compare_all(plan.percent), "a long, b long")
+    return sets.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_compare_all(plan.percent, arrow), f"a {kind}, b {kind}")
 
 
 def near_groups(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,34 +271,41 @@ def near_groups(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
     Words are runs without ASCII white space, A-Z lower-cased; a text's set holds its distinct shingles. Texts linked
     directly or through others form a component, named by its smallest id; kept marks that row. Texts without words
     (null, empty) are linked with nothing. Texts of the same words always belong together. A null id is in no component
-    (component_id is null; kept). Rows of one id are one document, linked by any of its texts. Other columns are ignored.
+    (component_id is null; kept). Rows of one id are one document, linked by any of its texts. Integer ids come back as long,
+    others as strings and ordered as such. Whole texts count, however long. Other columns are ignored. An empty table gives
+    no rows.
 
     Equal texts are merged before anything is compared. In each bucket all members are compared with a few pivots; where
     that leaves a bucket with more than one component, settle() compares its members of different components with one
     another, block by block. So every pair that shares a band is either connected or refuted, and no bucket is capped.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    signed = store(rows.mapInArrow(_sign(plan), "_id long, _n long, _key binary, _bands array<long>"), "signed")
+    id_, kind, _ = own_id(docs, id_col)
+    rows = docs.select(id_.alias("_id"), F.col(text_col).alias("_text"))
+    signed = store(rows.mapInArrow(_sign(plan), f"_id {kind}, _n long, _key binary, _bands array<long>"), "signed")
     total = signed.df.count()
     classes = signed.df.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_count"))
     heads = signed.df.where(F.col("_id").isNotNull() & (F.col("_n") > 0)).groupBy("_key").agg(F.min(F.struct("_id", "_n", "_bands")).alias("_rep"))
     bands = heads.select(F.explode("_rep._bands").alias("band"), F.col("_rep._id").alias("rep"), F.col("_rep._n").alias("n"))
     bands = store(bands, "bands")
-    several = bands.df.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "low")
-    met = store(bands.df.join(several, "band"), "met")
+    several = store(bands.df.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("band", "low", "size"), "several")
+    met = store(attach(bands.df, several.df, "band", "size", bands.df.count()), "met")
     bands.drop()
+    several.drop()
+    n_met = met.df.count()
     pivots = [F.min(F.struct("rep", "n"))] + [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("_"), F.struct("rep", "n").alias("p")))["p"] for k in range(1, PIVOTS)]
-    chosen = met.df.groupBy("band").agg(F.array_distinct(F.array(*pivots)).alias("pivots"))
-    shared = store(met.df.join(chosen, "band"), "shared")
+    chosen = store(met.df.groupBy("band").agg(F.array_distinct(F.array(*pivots)).alias("pivots"), F.count(F.lit(1)).alias("size")), "chosen")
+    shared = store(attach(met.df.drop("size"), chosen.df, "band", "size", n_met), "shared")
     met.drop()
+    chosen.drop()
     stars = shared.df.select("rep", "n", F.explode("pivots").alias("pivot")).where((F.col("rep") != F.col("pivot.rep")) & (100 * F.least("n", "pivot.n") >= plan.percent * F.greatest("n", "pivot.n")))
     stars = store(stars.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct(), "stars")
     labels = components(confirm(rows, stars.df, plan))
     labelled = shared.df.join(labels.df, F.col("rep") == F.col("node"), "left").select("band", "rep", "low", F.coalesce("label", "rep").alias("label"))
-    open_ = labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("band")
-    torn = store(labelled.join(open_, "band").select("low", "rep", "label").distinct(), "torn")
+    labelled = store(labelled, "labelled")
     shared.drop()
+    open_ = store(labelled.df.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most").select("band", "size"), "open")
+    torn = store(attach(labelled.df, open_.df, "band", "size", n_met).drop("size"), "torn")
+    labelled.drop()
     if not torn.df.isEmpty():
         more = store(settle(rows, torn.df, plan), "more").df
         labels = components(labels.df.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
@@ -290,9 +317,13 @@ def near_groups(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
 
 
 def drop_near(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with its own columns, with one row of each component: that with the smallest id."""
-    gone = near_groups(docs, plan, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """docs, with its own columns, with the rows of one id of each component: the smallest. Rows with null ids stay.
+
+    The others are dropped where they are read, as far as a bitmap of ids can tell; only what it can't is shuffled.
+    """
+    groups = near_groups(docs, plan, id_col, text_col).where(~F.col("kept"))
+    gone = store(groups.groupBy(F.col(id_col).alias("_gone")).agg(F.count(F.lit(1)).alias("_rows")), "gone").df
+    return without(docs, id_col, gone, docs.count())
 
 
-__all__ = ["Plan", "Stored", "confirm", "drop_near", "near_groups", "shingles", "signature"]
+__all__ = ["Plan", "confirm", "drop_near", "near_groups", "shingles", "signature"]
