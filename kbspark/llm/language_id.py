@@ -7,19 +7,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a model is fitted on, at most about; they are dealt evenly over the languages, by a hash of the id.
+from .common import store
+
+#: Rows that a model is fitted on at most, dealt evenly over the languages: those of the least hashes of ids. Every language
+#: gets one row at least, so with more languages than this there are as many rows as languages.
 TRAIN_ROWS = 3_000
+#: Ids drawn of each language before the least hashes are chosen, so that chance leaves none without.
+DRAWN = 40
 #: Buckets of hashed character n-grams (of 1 to 3 characters), and centroids for each language.
 BITS, CENTROIDS, ROUNDS = 13, 3, 10
 #: A text is rejected if its cosine is below MARGIN times this quantile of its language's training cosines at its length.
 QUANTILE, MARGIN = 0.01, 0.8
 #: Starts of training texts, in characters, that stand for short texts; cosines that a quantile is taken from, if there are.
 CUTS, ENOUGH = (2, 4, 8, 16, 32, 64, 128, 256), 50
-#: Label values that a model can hold; more are an error, as they are sent to every task.
-MOST_LANGUAGES = 5_000
+#: Centroids that a task holds as a dense matrix at a time; the model itself holds them as sparse rows.
+TOGETHER = 512
 
 _letters: list[np.ndarray] = []
 
@@ -53,7 +58,11 @@ def n_grams(text: str | None) -> np.ndarray | None:
 class Model:
     languages: list[str]
     idf: np.ndarray
-    centroids: np.ndarray
+    #: Centroids as sparse rows: the buckets and values of row i stand from ends[i - 1] to ends[i].
+    seen: np.ndarray
+    values: np.ndarray
+    ends: np.ndarray
+    #: The number of each centroid's language.
     owner: np.ndarray
     #: The least cosine that isn't rejected, for each language and band of lengths.
     least: np.ndarray
@@ -62,11 +71,29 @@ class Model:
         x = np.log1p(counts) * self.idf
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
+    def _dense(self, start: int) -> np.ndarray:
+        """Centroids start to start + TOGETHER. The only part of a small model is kept."""
+        held = getattr(self, "_held", None)
+        if held is None or held[0] != start:
+            ends = self.ends[start : start + TOGETHER]
+            first = self.ends[start - 1] if start else 0
+            rows = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=first))
+            part = np.zeros((len(ends), 1 << BITS), np.float32)
+            part[rows, self.seen[first : ends[-1]]] = self.values[first : ends[-1]]
+            held = self._held = (start, part)
+        return held[1]
+
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The number of the language and the cosine for each row of n-gram counts."""
-        likeness = self.weigh(counts) @ self.centroids.T
-        best = likeness.argmax(axis=1)
-        return self.owner[best], np.clip(likeness[np.arange(len(best)), best], 0.0, 1.0)
+        """The number of the language and the cosine for each row of n-gram counts; the first of equals."""
+        x, at = self.weigh(counts), np.arange(len(counts))
+        best, cosine = np.zeros(len(counts), np.int64), np.full(len(counts), -1.0)
+        for start in range(0, len(self.ends), TOGETHER):
+            likeness = x @ self._dense(start).T
+            here = likeness.argmax(axis=1)
+            found = likeness[at, here]
+            better = found > cosine
+            best, cosine = np.where(better, start + here, best), np.where(better, found, cosine)
+        return self.owner[best], np.clip(cosine, 0.0, 1.0)
 
     def rejects(self, best: np.ndarray, cosine: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Whether each row with what predict() found is too far from its language for its length."""
@@ -126,61 +153,86 @@ def _limits(bands: np.ndarray, cosines: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """lang, id and text of the training rows: for each label the ids of the least hashes, as many as its share of TRAIN_ROWS.
+
+    Rows without id, label or a letter are never drawn; of rows with equal label and id the least text is. A label's ids
+    are thinned by a coin to some DRAWN or twice its share before they are ranked, so no task ranks a hot label.
+    """
+    known = rows.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    sizes = store(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "labels").df
+    labels = sizes.count()
+    share = max(1, TRAIN_ROWS // max(labels, 1))
+    rates = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(max(2 * share, DRAWN))) / F.col("n")).alias("rate"))
+    rates = F.broadcast(rates) if labels <= 100_000 else rates
+    key = F.xxhash64("id", F.lit(23))
+    drawn = known.select("lang", "id").join(rates, "lang").where(F.pmod(key, F.lit(1 << 30)) < F.col("rate") * float(1 << 30))
+    ranked = drawn.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(key, "id")))
+    chosen = store(ranked.where(F.col("rank") <= share).select("lang", "id"), "drawn").df
+    few = F.broadcast(chosen) if labels <= 100_000 else chosen
+    return known.join(few, ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text"))
+
+
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from the rows with a language. At most about TRAIN_ROWS whole texts are used, and only their counts move."""
-    known = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
-    sizes = known.groupBy("_lang").count().orderBy("_lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sizes:
-        return Model([], np.ones(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), np.zeros(0, np.int64), np.zeros((0, BITS + 1)))
-    quota = max(1, TRAIN_ROWS // len(sizes))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["_lang"]), F.lit(min(1.0, quota / r["count"])))])
-    drawn = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.try_element_at(share, F.col("_lang")) * F.lit(float(1 << 30)))
+    """Learn from the rows with a language: whole texts of at most TRAIN_ROWS rows, or one of each language if those are more.
+
+    No language that has a text with a letter and an id is lost. Repeated rows of one id count once; null labels, ids and
+    texts and texts without letters are left out; ties of hashes go by id. An empty table makes a model that knows no
+    language. Only n-gram counts reach the driver. The model grows with the number of languages, not of rows.
+    """
 
     def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             out = []
-            for lang, text in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+            for lang, id_, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "id", "text")), strict=True):
                 starts = [n_grams(text), *(n_grams(text[:c]) for c in CUTS if c < len(text))]
                 if starts[0] is not None:
                     found = [np.unique(g, return_counts=True) for g in starts if g is not None]
-                    out.append((lang, *(b"".join(x[i].astype(t).tobytes() for x in found) for i, t in ((0, np.uint16), (1, np.float32))), [len(x[0]) for x in found]))
+                    out.append((lang, id_, *(b"".join(x[i].astype(t).tobytes() for x in found) for i, t in ((0, np.uint16), (1, np.float32))), [len(x[0]) for x in found]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("lang", pa.string()), ("seen", pa.binary()), ("n", pa.binary()), ("sizes", pa.list_(pa.int32()))]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("lang", pa.string()), ("id", pa.string()), ("seen", pa.binary()), ("n", pa.binary()), ("sizes", pa.list_(pa.int32()))]))
 
-    sample = sorted(drawn.select("_lang", "_text").mapInArrow(counted, "lang string, seen binary, n binary, sizes array<int>").collect())
-    languages = sorted({r["lang"] for r in sample})
-    counts = np.zeros((len(sample), 1 << BITS), np.float32)
-    texts = []
+    sample = sorted(_sample(rows, id_col, text_col, lang_col).mapInArrow(counted, "lang string, id string, seen binary, n binary, sizes array<int>").collect())
+    texts: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    of: dict[str, list[int]] = {}
     for i, r in enumerate(sample):
         at = np.cumsum(r["sizes"])[:-1]
         texts.append(list(zip(np.split(np.frombuffer(r["seen"], np.uint16), at), np.split(np.frombuffer(r["n"], np.float32), at), strict=True)))
-        counts[i, texts[i][0][0]] = texts[i][0][1]
-    label = np.array([languages.index(r["lang"]) for r in sample], np.int64)
-    idf = (np.log((1 + len(sample)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model(languages, idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, np.int64), np.zeros((len(languages), BITS + 1)))
-    for start in range(0, len(counts), 256):  # in place, as the counts of all rows are the largest thing that the driver holds
-        counts[start : start + 256] = model.weigh(counts[start : start + 256])
-    x = counts
-    groups = [_cluster(x[label == k]) for k in range(len(languages))]
-    if groups:
-        model.centroids = np.concatenate(groups).astype(np.float32)
-        model.owner = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-        weighed = [[(seen, (w := np.log1p(n) * idf[seen]) / max(np.linalg.norm(w), 1e-12)) for seen, n in t] for t in texts]
-        found = [_others(x[label == k], groups[k], [weighed[i] for i in np.flatnonzero(label == k)]) for k in range(len(groups))]
-        anywhere = tuple(np.concatenate(c) for c in zip(*found, strict=True))
-        model.least = np.stack([_limits(*(f if len(f[0]) else anywhere)) for f in found])
-    return model
+        of.setdefault(r["lang"], []).append(i)
+    known_in = np.zeros(1 << BITS)
+    for t in texts:
+        known_in[t[0][0]] += 1
+    idf = (np.log((1 + len(texts)) / (1 + known_in)) + 1).astype(np.float32)
+    seen, values, sizes, owner, found = [np.empty(0, np.uint16)], [np.empty(0, np.float32)], [], [], []
+    for k, rows_of in enumerate(of.values()):  # a language at a time: only its rows are ever dense
+        weighed = [[(b, (w := np.log1p(n) * idf[b]) / max(np.linalg.norm(w), 1e-12)) for b, n in texts[i]] for i in rows_of]
+        x = np.zeros((len(rows_of), 1 << BITS), np.float32)
+        for i, t in enumerate(weighed):
+            x[i, t[0][0]] = t[0][1]
+        centroids = _cluster(x)
+        found.append(_others(x, centroids, weighed))
+        for c in centroids:
+            seen.append(np.flatnonzero(c).astype(np.uint16))
+            values.append(c[seen[-1]].astype(np.float32))
+            sizes.append(len(seen[-1]))
+            owner.append(k)
+    least = np.zeros((len(of), BITS + 1))
+    if found:
+        anywhere = _limits(*(np.concatenate(c) for c in zip(*found, strict=True)))
+        least = np.stack([_limits(*f) if len(f[0]) else anywhere for f in found])
+    return Model(list(of), idf, np.concatenate(seen), np.concatenate(values), np.cumsum(sizes, dtype=np.int64), np.array(owner, np.int64), least)
 
 
 def identify(rows: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", together: int = 64) -> DataFrame:
     """One row per row: id_col, lang_pred, score (the cosine, 0 to 1) and rejected.
 
-    lang_pred is the language of the nearest centroid, or und (score 0, rejected) if the text is null or has no letter,
-    or if nothing was learned. A text farther from its nearest centroid, by MARGIN, than all but the QUANTILE of that language's
-    training texts of its length are from centroids of the others is rejected but keeps its nearest language. Only the two named columns are read. Whole texts count. The model has a bounded size:
-    MOST_LANGUAGES times CENTROIDS vectors; rows are scored where they are read.
+    lang_pred is the language of the nearest centroid, the first of equals in the order of names, or und (score 0, rejected)
+    if the text is null or has no letter, or if nothing was learned. A text farther from its nearest centroid, by MARGIN, than
+    all but the QUANTILE of that language's training texts of its length are from centroids of the others is rejected but
+    keeps its nearest language. Ids may have any type or be null; repeated rows get equal results. Only the two named columns
+    are read. Whole texts count. Rows are scored where they are read, with TOGETHER dense centroids in memory at a time. An
+    empty table gives no rows.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
