@@ -190,17 +190,32 @@ def words9(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
 
 
-@pytest.mark.parametrize("block", [8_000_000, 60])
+def longest_match(words, probe, least):
+    """Most words in a row that both have, if least or more, with the first place in words, then in probe."""
+    best, runs = None, {}
+    for i, w in enumerate(words):
+        now = {}
+        for j, v in enumerate(probe):
+            if v == w:
+                n = now[j] = runs.get(j - 1, 0) + 1
+                found = (-n, i - n + 1, j - n + 1)
+                if n >= least and (best is None or found < best):
+                    best = found
+        runs = now
+    return best
+
+
+@pytest.mark.parametrize("block", [16_000_000, 60])
 def test_leaks(spark, docs, monkeypatch, block):
     rows = awkward()
     long = next(words9(t) for _, t, *_ in rows if t and len(words9(t)) > 40)
-    items = [(1, " ".join(long[3:30])), (2, "CHANGED!"), (3, None), (4, ""), (5, "a b a b"), (6, "absent words here"), (10, " ".join(long[20:26])), (None, "x y"), (2, "changed"), (7, "é ß")]
+    items = [(1, " ".join(long[3:30])), (2, "CHANGED!"), (3, None), (4, ""), (5, "a b a b"), (6, "absent words here"), (10, " ".join(long[20:26])), (None, "x y"), (2, "changed"), (7, "é ß"), (8, " ".join(long[:14] + ["zzz"] + long[10:40])), (9, "b a a " * 8), (9, "b a a " * 8)]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id long")
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 500)
     expected = []
     for i, t, *_ in rows:
-        words, hit, names = words9(t), set(), set()
+        words, hit, names = words9(t), set(), {}
         for item, text in items:
             probe = words9(text)
             n = min(10, len(probe))
@@ -208,10 +223,25 @@ def test_leaks(spark, docs, monkeypatch, block):
             for k, w in enumerate(windows_of(words, n) if n else ()):
                 if w in wanted:
                     hit.update(range(k, k + n))
-                    names.add("" if item is None else str(item))
-        expected.append((i, len(words), len(hit), tuple(sorted(names))))
+                    names.setdefault("" if item is None else str(item), (probe, n))
+        expected.append((i, len(words), len(hit), tuple((k, -v[0], v[1], v[2]) for k, v in sorted((k, longest_match(words, *v)) for k, v in names.items()))))
     found = decontaminate.find_leaks(docs, bench).withColumn("n_hit", decontaminate.hit_words("spans"))
-    assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found.collect()), key=repr) == sorted(expected, key=repr)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple((m["item"], m["words"], m["start"], m["item_start"]) for m in r["matches"])) for r in found.collect()), key=repr) == sorted(expected, key=repr)
+    left = {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()}
+    assert left == {i for i, _, n, _ in expected if not n}
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c", b"q"]), max_size=14), max_size=5))
+def test_suffix_array_is_in_order(texts):
+    items = decontaminate.Items([("x", b"a b c")])
+    numbers, _ = decontaminate._numbered(texts, items)
+
+    def suffix(i):
+        return numbers[i : i + int(np.argmin(numbers[i:]))].tolist()
+
+    order = [suffix(i) for i in decontaminate.SuffixArray(numbers).at]
+    assert order == sorted(suffix(i) for i in np.flatnonzero(numbers))
 
 
 def test_dropping_keeps_columns_and_clean_rows(spark, docs):
@@ -230,4 +260,4 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert exact_dedup.find_repeats(docs).count() == near_dedup.near_groups(docs).count() == substring_dedup.remove_passages(docs).count() == decontaminate.find_leaks(docs, bench).count() == 0
     some = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
-    assert decontaminate.find_leaks(some, bench).first()["items"] == []
+    assert decontaminate.find_leaks(some, bench).first()["matches"] == []
