@@ -119,7 +119,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.col("record_type") == "response"
     return records.select(
         page(F.col("record_id")).alias("page_id"),
-        F.when(whole, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(whole, F.sha1("payload")).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
         "record_type",
         page(F.col("refers_to")).alias("refers_to"),

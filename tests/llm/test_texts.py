@@ -114,14 +114,78 @@ def test_archives(spark):
     assert warc.read_archives(spark, warc.write_archives(df.limit(0))).count() == 0
 
 
-def test_reader_skips_what_is_no_record():
-    one, two = (warc.record("response", i, "http://x", b"p%d" % i * 50, "d", None) for i in (1, 2))
+def plain_reader(data):
+    """Records and broken stretches as (offset, content or None), by one pass with Python's own gzip."""
     import gzip
-
-    data = b"junk\x1f\x8b\x08junk" + one + gzip.compress(b"not a record") + b"\x1f\x8b\x08" + two + two[:40]
-    for cut in range(0, len(data), 7):
-        found = [d for a, b in ((0, cut), (cut, len(data))) for _, d in warc.Members(pa.BufferReader(data), a, b)]
-        assert [warc.parse(d)[1] for d in found] == [b"p1" * 50, b"p2" * 50]
+    import zlib
+
+    def member(at):
+        d = zlib.decompressobj(31)
+        try:
+            out = d.decompress(data[at:])
+        except zlib.error:
+            return None
+        return (len(data) - len(d.unused_data), out) if d.eof and out.startswith(b"WARC/1.") else None
+
+    at, out = 0, []
+    assert gzip
+    while at < len(data):
+        if found := member(at):
+            out.append((at, found[1]))
+            at = found[0]
+        else:
+            to = next((i for i in range(at + 1, len(data)) if data[i : i + 3] == warc.MAGIC and member(i)), len(data))
+            out.append((at, None))
+            at = to
+    return out
+
+
+def nested():
+    """Records whose payloads hold whole archives (stored as they are), junk, a member that is no record, a cut member."""
+    import gzip
+    import zlib
+
+    def stored(payload, kind=b"response", content=b"application/http"):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + payload if content.startswith(b"application/http") else payload
+        pack = zlib.compressobj(0, zlib.DEFLATED, 31)
+        return pack.compress(b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:x>\r\nContent-Type: %s\r\nContent-Length: %d\r\n\r\n" % (kind, content, len(block)) + block + b"\r\n\r\n") + pack.flush()
+
+    one, two, three = (warc.record("response", i, "http://x", b"p%d" % i * 50, "d", "2020-01-01T00:00:00Z") for i in (1, 2, 3))
+    inner = one + three
+    return [
+        one + stored(inner * 5) + two,
+        b"junk\x1f\x8b\x08junk" + one + gzip.compress(b"not a record") + b"\x1f\x8b\x08" + two + two[:40],
+        stored(inner)[:-9] + two,  # its checksum is lost, so what it held is met
+        stored(b"software: x", b"warcinfo", b"application/warc-fields") + stored(b"a: b\r\n\r\nc", b"metadata", b"text/plain") + stored(stored(inner)) + one,
+    ]
+
+
+def test_reader_meets_the_same_records_however_files_are_cut(spark, tmp_path):
+    rows, wanted, broken = [], [], []
+    for i, data in enumerate(nested()):
+        path = tmp_path / f"{i}.warc.gz"
+        path.write_bytes(data)
+        rows.append((f"file://{path}", len(data)))
+        for at, found in plain_reader(data):
+            (broken if found is None else wanted).append((i, at) if found is None else (i, at, warc.parse(found)[1]))
+    assert len(wanted) == 3 + 2 + 3 + 4 and broken
+    rows.append((f"file://{tmp_path}/none.warc.gz", 0))
+    files = spark.createDataFrame(rows, "path string, size long")
+    for split in (10_000, 333, 100):
+        found = warc.read_archives(spark, files, split).collect()
+        assert sorted((int(x.path.split("/")[-1][0]), x.offset, bytes(x.payload)) for x in found) == wanted
+        assert {x.record_type for x in found} == {"response", "warcinfo", "metadata"}
+        pieces = {(int(x.path.split("/")[-1][0]), x.offset) for x in warc.find_broken(spark, files, split).collect()}
+        assert set(broken) <= pieces
+    info = next(x for x in found if x.record_type == "warcinfo")
+    assert bytes(info.payload) == b"software: x" and info.payload_length == 11
+    for data in nested():  # every cut in two
+        for cut in range(1, len(data), 5):
+            first = warc.Members(pa.BufferReader(data), 0, cut)
+            upto = first.exits()
+            at = next((x for c, x in upto if c >= 0), cut)
+            parts = [*first.read(0), *(warc.Members(pa.BufferReader(data), cut, len(data)).read(at) if at < len(data) else ())]
+            assert [(a, d) for a, _, d in parts if d is not None] == [x for x in plain_reader(data) if x[1] is not None]
 
 
 def test_language(spark):
