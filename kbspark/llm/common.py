@@ -43,7 +43,7 @@ HOT_SHARE, HOT_ROWS = 1_000, 200
 
 
 def attach(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
-    """left join right on key (inner or left_anti), where right has one row per key and in count how many rows of left carry it.
+    """left join right on key (inner, left or left_anti), where right has one row per key and in count how many rows of left carry it.
 
     total: the rows of left. Keys with at least a thousandth of them (and 200 rows) number at most 1,000, so they can
     always be broadcast; the others go through a shuffle, in which no key then has more than a thousandth of the rows.
@@ -53,7 +53,7 @@ def attach(left: DataFrame, right: DataFrame, key: str, count: str, total: int,
     hot = F.broadcast(right.where(F.col(count) >= floor))
     cold = right.where(F.col(count) < floor)
     rest = left.join(hot.select(key), key, "left_anti")
-    return rest.join(cold, key, how) if how == "left_anti" else left.join(hot, key).unionByName(rest.join(cold, key))
+    return rest.join(cold, key, how) if how == "left_anti" else left.join(hot, key).unionByName(rest.join(cold, key, how))
 
 
 #: Bits of a filter for each member, and bits of one at most (as a power of 2: 32 MB).

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, rolling, store
+from .common import HOT_ROWS, HOT_SHARE, WordHashes, as_bytes, attach, marked, own_id, rolling, store
 
 #: Words of the anchors by which windows are dealt to reference shards.
 ANCHOR_WORDS = 8
@@ -88,17 +89,17 @@ def anchors(ids: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def _list_anchors(width: int):
+def _list_anchors(width: int, id_type: pa.DataType):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in source:
-            ids, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-            for id_, text in zip(batch.column("_id").to_pylist(), as_bytes(batch.column("_text")), strict=True):
-                words = text.split() if text and id_ is not None else []
-                if len(words) >= width:
-                    found.append(np.unique(anchors(hashes.of(words), width)))
-                    ids.append(np.full(len(found[-1]), id_, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], names=["anchor", "doc"])
+            found, sizes = [np.empty(0, np.uint64)], []
+            for text in as_bytes(batch.column("_text")):
+                words = text.split() if text else []
+                found.append(np.unique(anchors(hashes.of(words), width)) if len(words) >= width else found[0])
+                sizes.append(len(found[-1]))
+            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("_id").take(at).cast(id_type), batch.column("_h").take(at)], names=["anchor", "doc", "h"])
 
     return run
 
@@ -120,74 +121,80 @@ def _runs(open_: np.ndarray, anchor: np.ndarray) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-_RUN = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("run", pa.binary()), ("doc", pa.int64())])
-
+def _list_runs(width: int, hot_anchors: Broadcast, id_type: pa.DataType):
+    schema = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("run", pa.binary()), ("doc", id_type), ("h", pa.int64())])
 
-def _list_runs(width: int, hot_anchors: Broadcast):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, hot = WordHashes(), hot_anchors.value
         for batch in source:
             rows, size = [], 0
-            for id_, text, own in zip(batch.column("_id").to_pylist(), as_bytes(batch.column("_text")), _held(batch.column("_own_anchors")), strict=True):
-                words = text.split() if text and id_ is not None else []
-                if len(words) < width:
-                    continue
+            for id_, h, text, shared in zip(batch.column("_id").to_pylist(), batch.column("_h").to_pylist(), as_bytes(batch.column("_text")), _held(batch.column("_shared")), strict=True):
+                words = text.split()
                 anchor = anchors(hashes.of(words), width)
-                for a, b in _runs(~np.isin(anchor, own), anchor):
+                for a, b in _runs(np.isin(anchor, shared), anchor):
                     key = int(anchor[a : a + 1].view(np.int64)[0])
-                    rows.append((key, 1 + id_ % SALTS if key in hot else 0, b" ".join(words[a : b + width - 1]), id_))
+                    rows.append((key, 1 + xxhash.xxh3_64_intdigest(str(id_)) % SALTS if key in hot else 0, b" ".join(words[a : b + width - 1]), id_, h))
                     size += len(rows[-1][2])
                 if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RUN, strict=True)], schema=_RUN)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RUN, strict=True)], schema=_RUN)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _match(width: int):
-    """Runs sorted by anchor, salt, document: which document first has each window. whole: all windows of the anchor."""
+def _match(width: int, id_type: pa.DataType):
+    """Runs sorted by anchor, salt, document: the windows that no run of a smaller document in the same automaton has.
+
+    settled: the automaton has all runs of the anchor. Then nothing is told of the smallest document, which has all its windows
+    first, as every reader of the findings knows.
+    """
+    schema = pa.schema([("doc", id_type), ("h", pa.int64()), ("anchor", pa.int64()), ("window", pa.int64()), ("settled", pa.bool_())])
 
-    def found(runs: list[tuple[list[bytes], int]], anchor: int, hashes: WordHashes, out: list[tuple]) -> None:
+    def found(runs: list[tuple[list[bytes], int | str, int]], anchor: int, settled: bool, hashes: WordHashes, out: list[tuple]) -> None:
+        if settled and all(doc == runs[0][1] for _, doc, _ in runs):
+            return
         automaton = SuffixAutomaton()
-        for number, (words, _) in enumerate(runs):
+        for number, (words, *_) in enumerate(runs):
             automaton.add(words, number)
-        for number, (words, doc) in enumerate(runs):
+        owner = np.cumsum([0, *(a[1] != b[1] for a, b in zip(runs, runs[1:]))])  # runs of one document have one number
+        for number, (words, doc, h) in enumerate(runs):
+            if settled and not owner[number]:
+                continue
             windows = rolling(hashes.of(words), width).view(np.int64)
-            first = np.array(automaton.stream(words, width), np.int64)
-            out += [(doc, anchor, window, False) for window in np.unique(windows[first == number]).tolist()]
+            first = owner[np.array(automaton.stream(words, width), np.int64)]
+            out += [(doc, h, anchor, window, settled) for window in np.unique(windows[first == owner[number]]).tolist()]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, key, seen, runs, size, several = WordHashes(), None, set(), [], 0, False
+        hashes, key, seen, runs, size, several, last = WordHashes(), None, {}, [], 0, False, None
         out: list[tuple] = []
-        schema = pa.schema([("doc", pa.int64()), ("anchor", pa.int64()), ("window", pa.int64()), ("whole", pa.bool_())])
 
-        def close() -> None:
-            if key is not None and len(runs) == 1 and not several and not key[1]:
-                out.append((runs[0][1], key[0], None, True))
-            elif runs:
-                found(runs, key[0], hashes, out)
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
         for batch in source:
-            for anchor, salt, text, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, salt, text, doc, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != (anchor, salt):
-                    close()
-                    key, seen, runs, size, several = (anchor, salt), set(), [], 0, False
-                if text in seen:
+                    if runs:
+                        found(runs, key[0], not several and not key[1], hashes, out)
+                    key, seen, runs, size, several = (anchor, salt), {}, [], 0, False
+                # A run that an earlier document has too has no window first, and one of a copy of a row says nothing new.
+                if seen.get(text, doc) != doc or runs and last == (doc, h, text):
                     continue
                 if size > SHARD_WORDS:
-                    found(runs, anchor, hashes, out)
-                    seen, runs, size, several = set(), [], 0, True
-                seen.add(text)
-                runs.append((text.split(), doc))
+                    found(runs, anchor, False, hashes, out)
+                    seen, runs, size, several = {}, [], 0, True
+                seen[text], last = doc, (doc, h, text)
+                runs.append((text.split(), doc, h))
                 size += len(runs[-1][0])
             if len(out) > 4_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield batch_of()
                 out = []
-        close()
+        if runs:
+            found(runs, key[0], not several and not key[1], hashes, out)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            yield batch_of()
 
     return run
 
@@ -197,15 +204,15 @@ def _remove(width: int):
         hashes = WordHashes()
         for batch in source:
             n_words, n_removed, kept = [], [], []
-            for id_, text, own, windows in zip(batch.column("_id").to_pylist(), as_bytes(batch.column("_text")), _held(batch.column("_own_anchors")), _held(batch.column("_own_windows")), strict=True):
+            for text, late, first in zip(as_bytes(batch.column("_text")), _held(batch.column("_late")), _held(batch.column("_first")), strict=True):
                 words = text.split() if text else []
                 n_words.append(len(words))
                 n_removed.append(0)
-                if len(words) >= width and id_ is not None:
+                if len(words) >= width and len(late):
                     ids = hashes.of(words)
-                    repeated = ~np.isin(anchors(ids, width), own)
-                    if repeated.any() and len(windows):
-                        repeated &= ~np.isin(rolling(ids, width), windows)
+                    repeated = np.isin(anchors(ids, width), late)
+                    if repeated.any() and len(first):
+                        repeated &= ~np.isin(rolling(ids, width), first)
                     if repeated.any():
                         edge = np.zeros(len(words) + 1, np.int32)
                         edge[: len(repeated)] += repeated
@@ -224,32 +231,56 @@ def remove_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
 
     Words are runs without ASCII white space. A word is removed if a window of width words covers it whose words also
     stand, in a row, in a text with a smaller id; windows are judged on the input. Null and empty texts have no words.
-    Rows with null ids lose nothing and take nothing from others; rows with equal ids take nothing from one another.
-    Other columns are ignored.
+    Integer ids come back as long, others as strings and ordered as such. Rows with null ids lose nothing and take nothing from
+    others; rows with equal ids take nothing from one another. Whole texts count. Other columns are ignored. An empty table
+    gives no rows.
 
     Windows are dealt to reference shards by their anchor, the least hash among their word n-grams. Anchors of a single
-    document are settled by a count; only the passages around shared ones move. In a shard the passages, in order of
-    ids, make suffix automata of bounded size, and each passage streamed through one learns which document has each of
-    its windows first. Frequent anchors are dealt over several shards. Findings of different automata are merged by
-    window, so nothing depends on where a shard was cut.
+    document are settled by a count, and in the smallest document of an anchor all its windows come first; only the passages
+    around shared anchors move. In a shard the passages, in order of ids, make suffix automata of bounded size, and each passage
+    streamed through one learns which document has each of its windows first. Frequent anchors are dealt over several
+    shards. Findings of different automata are merged by window, so nothing depends on where a shard was cut.
+
+    Texts without shared anchors, and those that lose nothing, are never shuffled: a bitmap of bounded size tells them where they
+    are read. Lists of anchors and windows belong to an id and text, so rows that share an id share none but with their copies.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    listed = rows.mapInArrow(_list_anchors(width), "anchor long, doc long")
-    counted = store(listed.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")), "anchors").df
-    pairs = counted.agg(F.sum("n")).first()[0] or 0
+    id_, kind, arrow = own_id(docs, id_col)
+    rows = docs.select(id_.alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"))
+    named = rows.where("_id IS NOT NULL AND _text IS NOT NULL")
+    listed = store(named.mapInArrow(_list_anchors(width, arrow), f"anchor long, doc {kind}, h long"), "listed").df
+    pairs = listed.count()
+    counted = listed.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").drop("high")
+    counted = store(counted, "anchors").df
     floor = max(pairs // HOT_ANCHORS, 1_000)
     hot = spark.sparkContext.broadcast({r.anchor for r in counted.where(F.col("n") >= floor).select("anchor").collect()})
-    alone = counted.where("low = high").select(F.col("low").alias("doc"), "anchor")
-    empty = F.array().cast("array<long>")
-    own = alone.groupBy("doc").agg(F.collect_list("anchor").alias("_own"))
-    shared = rows.join(own, F.col("_id") == F.col("doc"), "left").select("_id", "_text", F.coalesce("_own", empty).alias("_own_anchors"))
-    runs = shared.mapInArrow(_list_runs(width, hot), "anchor long, salt int, run binary, doc long")
+    total = rows.count()
+    same = F.struct(F.col("_id"), F.col("_h")).alias("_key")
+    often = store(named.groupBy(same).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= max(total // HOT_SHARE, HOT_ROWS)), "often").df
+
+    def listing(found: DataFrame, label: str) -> DataFrame:
+        """found, lists for each _key, with how many rows have the key (1 for all but hot ones)."""
+        return store(found.join(F.broadcast(often), "_key", "left").withColumn("_rows", F.coalesce("_rows", F.lit(1))), label).df
+
+    own = F.struct(F.col("doc").alias("_id"), F.col("h").alias("_h")).alias("_key")
+    shared = attach(listed, counted, "anchor", "n", pairs)
+    lists = listing(shared.groupBy(own).agg(F.collect_set("anchor").alias("_shared"), F.collect_set(F.when(F.col("low") < F.col("doc"), F.col("anchor"))).alias("_late")), "lists")
+    flagged = marked(named.select(same, "_text"), F.col("_key"), lists, "_key").where("_maybe").drop("_maybe")
+    texts = attach(flagged, lists.drop("_late"), "_key", "_rows", total).select("_key._id", "_key._h", "_text", "_shared")
+    runs = texts.mapInArrow(_list_runs(width, hot, arrow), f"anchor long, salt int, run binary, doc {kind}, h long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = runs.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt", "doc").mapInArrow(_match(width), "doc long, anchor long, window long, whole boolean")
+    found = runs.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "h", "run").mapInArrow(_match(width, arrow), f"doc {kind}, h long, anchor long, window long, settled boolean")
     found = store(found, "passages").df
-    first = found.where("not whole").groupBy("anchor", "window").agg(F.min("doc").alias("doc"))
-    owned = alone.select("doc", "anchor", F.lit(None).cast("long").alias("window")).unionByName(found.where("whole").select("doc", "anchor", F.lit(None).cast("long").alias("window"))).unionByName(first.select("doc", F.lit(None).cast("long").alias("anchor"), "window"))
-    owned = owned.groupBy("doc").agg(F.collect_list("anchor").alias("_own"), F.collect_list("window").alias("_windows"))
-    judged = rows.join(owned, F.col("_id") == F.col("doc"), "left").select("_id", "_text", F.coalesce("_own", empty).alias("_own_anchors"), F.coalesce("_windows", empty).alias("_own_windows"))
-    return judged.mapInArrow(_remove(width), "_id long, n_words long, n_removed long, kept_text string").withColumnRenamed("_id", id_col)
+    open_ = found.where("not settled").select(F.struct("anchor", "window").alias("_of"), "doc", "h", "window")
+    least = store(open_.groupBy("_of").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n")), "least").df
+    merged = attach(open_, least, "_of", "n", found.count()).where("doc = low").select("doc", "h", "window")
+    first = found.where("settled").select("doc", "h", "window").unionByName(merged).groupBy(own).agg(F.collect_set("window").alias("_first"))
+    late = lists.where(F.size("_late") > 0).select("_key", "_late", "_rows")
+    judged = store(late.join(first, "_key", "left").withColumn("_first", F.coalesce("_first", F.array().cast("array<long>"))), "judged").df
+    empty = F.array().cast("array<long>")
+    parted = marked(rows.select(same, "_text"), F.col("_key"), judged, "_key")
+    changed = F.col("_maybe") & F.col("_key._id").isNotNull()
+    whole = parted.where(~changed).select("_key._id", "_text", empty.alias("_late"), empty.alias("_first"))
+    cut = attach(parted.where(changed).drop("_maybe"), judged, "_key", "_rows", total, "left").select("_key._id", "_text", F.coalesce("_late", empty).alias("_late"), F.coalesce("_first", empty).alias("_first"))
+    out = whole.unionByName(cut).mapInArrow(_remove(width), f"_id {kind}, n_words long, n_removed long, kept_text string")
+    return out.withColumnRenamed("_id", id_col)
