@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS_REMEMBERED, as_bytes
+from .common import WORDS_REMEMBERED, as_bytes, own_id
 from .decontaminate import words_of
 
 #: Labelled rows that a model is fitted on, at most about; drawn by a hash of the id.
@@ -98,43 +98,54 @@ def train(grades: np.ndarray, lists: list[np.ndarray], n_grades: int) -> Model:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Model:
-    """Learn from the rated rows of docs; ratings has id_col and grade_col (0 to n_grades - 1; null: not rated).
+    """Learn from the rated rows of docs; ratings has id_col and grade_col (0 to n_grades - 1; null or other: not rated).
 
-    At most about TRAIN_ROWS ratings are drawn by a hash of their id, so the join with docs broadcasts a bounded table
-    and no text is shuffled; of the texts only hashed features reach the driver.
+    At most about TRAIN_ROWS ids are drawn by a hash, so the join with docs broadcasts a bounded table and no text is
+    shuffled; of the texts only hashed features reach the driver. An id counts once: rated several times by its least grade, and
+    with several texts by that of the least features. Null ids are not rated; null and empty texts have no words; whole texts
+    count. Ids are compared as integers if both tables have such, else as strings. Empty tables give a model without weights.
     """
-    rated = ratings.where(F.col(grade_col).between(0, n_grades - 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_rated"), F.col(grade_col).cast("int").alias("_grade"))
+    id_, kind, arrow = own_id(docs, id_col)
+    if own_id(ratings, id_col)[1] != kind:
+        id_, kind, arrow = id_.cast("string"), "string", pa.string()
+    rated = ratings.where(F.col(grade_col).between(0, n_grades - 1) & F.col(id_col).isNotNull())
+    rated = rated.groupBy(F.col(id_col).cast(kind).alias("_rated")).agg(F.min(F.col(grade_col).cast("int")).alias("_grade"))
     share = min(1.0, TRAIN_ROWS / max(rated.count(), 1))
     drawn = rated.where(F.pmod(F.xxhash64("_rated", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def listed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             lists = [np.array(sorted({bucket(f) for f in features(t)}), np.int32).tobytes() for t in as_bytes(batch.column("_text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_grade"), pa.array(lists, pa.binary())], names=["_id", "_grade", "_features"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(arrow), batch.column("_grade"), pa.array(lists, pa.binary())], names=["_id", "_grade", "_features"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.join(F.broadcast(drawn), F.col("_id") == F.col("_rated")).select("_id", "_grade", "_text").mapInArrow(listed, "_id long, _grade int, _features binary").collect()
-    rows = sorted(rows)
+    texts = docs.select(id_.alias("_id"), F.col(text_col).alias("_text"))
+    rows = texts.join(F.broadcast(drawn), F.col("_id") == F.col("_rated")).select("_id", "_grade", "_text").mapInArrow(listed, f"_id {kind}, _grade int, _features binary")
+    rows = sorted(rows.groupBy("_id").agg(F.min("_grade").alias("_grade"), F.min("_features").alias("_features")).collect())
     return train(np.array([r["_grade"] for r in rows], np.int64), [np.frombuffer(r["_features"], np.int32) for r in rows], n_grades)
 
 
+#: Weights are summed in these units, as integers, so a sum doesn't depend on the order of features.
+UNIT = 2.0**-40
+
+
 class _Weights(dict):
     def __init__(self, weights: np.ndarray) -> None:
         super().__init__()
         self.weights = weights
 
-    def __missing__(self, feature: bytes) -> float:
+    def __missing__(self, feature: bytes) -> int:
         if len(self) >= WORDS_REMEMBERED:
             self.clear()
-        value = self[feature] = float(self.weights[bucket(feature)])
+        value = self[feature] = round(float(self.weights[bucket(feature)]) / UNIT)
         return value
 
 
 def grade(docs: DataFrame, model: Model, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, expected_grade and p_tail, the probability of a grade of least or more.
 
-    Whole texts count. A null text is graded as an empty one. Rows are independent, so repeated rows get equal grades;
-    other columns are ignored. With nothing learned every row gets the same grade. Scored where the rows are read.
+    Whole texts count, however long. A null text is graded as an empty one. Rows are independent, so repeated rows get equal
+    grades; ids may have any type or be null; other columns are ignored. With nothing learned every row gets the same grade. An
+    empty table gives no rows. Scored where the rows are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -142,7 +153,7 @@ def grade(docs: DataFrame, model: Model, least: int, id_col: str = "doc_id", tex
         m = shared.value
         held = _Weights(m.weights)
         for batch in source:
-            scores = np.array([sum(map(held.__getitem__, sorted(features(t)))) for t in as_bytes(batch.column("_text"))])
+            scores = np.array([UNIT * sum(map(held.__getitem__, features(t))) for t in as_bytes(batch.column("_text"))])
             p = m.probabilities(scores)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(p @ np.arange(p.shape[1])), pa.array(p[:, least:].sum(axis=1))], names=["_id", "expected_grade", "p_tail"])
 
