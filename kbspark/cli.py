@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
-import hashlib
 import json
 import os
 import sys
@@ -15,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Bundle, ConfigError, load
-from .functions import log_doc, patching, paths
+from .functions import frontmatter, log_doc, patching, paths
 from .operators import context, documents, links, listing, mentions, search, validate, writes
 from .sources import bundle as scan
 from .sources import cache
+from .sources.scratch import store
 
 GUIDE = """kbspark reads a bundle of Markdown documents with YAML frontmatter.
 Start with list-concepts to see what there is and graph to see how it hangs together; search finds words, context packs
@@ -34,6 +34,13 @@ def rows(df: DataFrame) -> list[dict]:
     return [json.loads(x) for x in df.toJSON().collect()]
 
 
+def _files(folder: str, **tables: DataFrame) -> dict[str, str]:
+    """Tables too large for one document as folders of JSON lines: name to place."""
+    for name, table in tables.items():
+        table.write.mode("error").json(f"{folder}/{name}")
+    return {name: f"{folder}/{name}" for name in tables}
+
+
 def _manifest(spark: SparkSession, bundle: Bundle) -> scan.Manifest:
     return cache.refresh(spark, bundle)
 
@@ -45,17 +52,31 @@ def _graph(spark: SparkSession, bundle: Bundle) -> tuple[scan.Manifest, links.Gr
 
 def cmd_scan(spark, bundle, args):
     found = _manifest(spark, bundle)
+    if args.output:
+        return _files(args.output, concepts=found.concepts.select("concept_id", "rel_path", "size", "sha256", "stable_id"), problems=found.problems), 0
     problems = rows(found.problems)
     return {"concepts": rows(found.concepts.select("concept_id", "rel_path", "size", "sha256", "stable_id").orderBy("concept_id")), "problems": problems}, int(args.quiet and bool(problems))
 
 
+def _in_folders(spark: SparkSession, bundle: Bundle, name: str) -> DataFrame:
+    """dir and content of all files of a name."""
+    return scan.read_files(spark, bundle, name).select(documents.folder_of(F.col("rel_path")).alias("dir"), F.decode("content", "UTF-8").alias("content"))
+
+
+def _sidecars(bundle: Bundle, listed: DataFrame) -> DataFrame:
+    """What the folders that hold concepts say about themselves."""
+    if "/" in bundle.directory_file:
+        raise Usage(f"directory_file must be a plain filename: {bundle.directory_file}")
+    return documents.parse_sidecars(scan.read_beside(documents.concept_directories(listed), bundle, bundle.directory_file))
+
+
 def cmd_validate(spark, bundle, args):
     found = _manifest(spark, bundle)
     findings = validate.bundle(found.concepts, found.problems, bundle.profile, bundle.taxonomy)
     out = rows(findings.orderBy("rel_path", "severity", "field"))
     listed = listing.list_concepts(found.concepts)
-    committed = scan.read_files(spark, bundle, "index.md").select(documents.folder_of(F.col("rel_path")).alias("dir"), F.decode("content", "UTF-8").alias("content"))
-    drift = rows(documents.drift(documents.generate_entries(listed), committed))
+    committed = _in_folders(spark, bundle, "index.md")
+    drift = rows(documents.drift(documents.generate_entries(listed, _sidecars(bundle, listed).where("problem IS NULL")), committed))
     return {"findings": out, "index_drift": drift}, int(any(f["severity"] == "error" for f in out))
 
 
@@ -71,8 +92,7 @@ def cmd_list_concepts(spark, bundle, args):
 
 def _search_rows(found: scan.Manifest, bundle: Bundle) -> DataFrame:
     listed = listing.list_concepts(found.concepts, bundle.listing_fields, True)
-    fields = F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat_ws("\n", e["key"], F.regexp_replace(e["value"], r'["\[\]{},:]', " "))), "\n")
-    return listed.withColumn("fields", fields)
+    return listed.withColumn("fields", search.fields_text(F.col("fields")))
 
 
 def cmd_search(spark, bundle, args):
@@ -80,8 +100,15 @@ def cmd_search(spark, bundle, args):
         raise Usage("cache_dir is not configured")
     if args.limit < 0:
         raise Usage("limit must be non-negative")
-    found = scan.Manifest(bundle, cache.load(spark, bundle.cache_dir), None) if args.no_refresh else _manifest(spark, bundle)
-    return {"results": rows(search.search(_search_rows(found, bundle), args.query, args.limit))}, 0
+    index, known = f"{bundle.cache_dir}/index", cache.load(spark, bundle.cache_dir)
+    if args.no_refresh and known is None:
+        raise Usage("there is no snapshot yet to search without a refresh")
+    found = scan.Manifest(bundle, known, None) if args.no_refresh else _manifest(spark, bundle)
+    docs = _search_rows(found, bundle)
+    if not args.no_refresh or cache.load(spark, f"{index}/documents") is None:
+        search.refresh_index(docs, index)
+    best = search.search_index(spark, index, args.query).orderBy("score", "concept_id").limit(args.limit)
+    return {"results": rows(search.with_snippets(docs, best, args.query))}, 0
 
 
 def cmd_unlinked_mentions(spark, bundle, args):
@@ -114,6 +141,8 @@ def cmd_context(spark, bundle, args):
 
 def cmd_graph(spark, bundle, args):
     found, graph = _graph(spark, bundle)
+    if args.output and not args.concept and not args.broken:
+        return _files(args.output, links=graph.links, broken_links=graph.broken, problems=found.problems), 0
     out = {"broken_links": rows(graph.broken.orderBy("source_concept_id", "target_path", "target"))}
     if args.broken:
         return out, 0
@@ -123,24 +152,37 @@ def cmd_graph(spark, bundle, args):
     return {"links": rows(graph.links.orderBy("source_concept_id", "target_path", "target")), **out, "problems": rows(found.problems)}, 0
 
 
+def _index_plans(spark: SparkSession, bundle: Bundle, found: scan.Manifest, force: bool = False) -> DataFrame:
+    """Plans for the indexes of all folders that hold concepts, with dir. A root index keeps the version it declares, unless
+    another is configured or it is to be dropped by force."""
+    listed = listing.list_concepts(found.concepts)
+    bodies = documents.render_indexes(documents.generate_entries(listed, _sidecars(bundle, listed).where("problem IS NULL")))
+    old = _in_folders(spark, bundle, "index.md")
+    root = old.where("dir = ''").first()
+    declared = frontmatter.parse(root["content"]).frontmatter.get(bundle.version_key) if root is not None and not force else None
+    version = bundle.version or declared
+    head = f'---\n{bundle.version_key}: "{version}"\n---\n' if version else ""
+    place = F.when(F.col("dir") == "", F.lit("index.md")).otherwise(F.concat("dir", F.lit("/index.md")))
+    proposed = F.concat(F.when(F.col("dir") == "", F.lit(head)).otherwise(F.lit("")), F.col("body"))
+    files = bodies.join(old, "dir", "left").select("dir", place.alias("rel_path"), "content", proposed.alias("proposed"))
+    return writes.plan_contents(files).withColumn("dir", documents.folder_of(F.col("rel_path")))
+
+
 def cmd_index(spark, bundle, args):
     found = _manifest(spark, bundle)
     _require_writable(spark, bundle)
-    bodies = documents.render_indexes(documents.generate_entries(listing.list_concepts(found.concepts)))
+    plans, held = _index_plans(spark, bundle, found, args.force), scan.read_files(spark, bundle, "*").select("rel_path")
+    problems, reserved = _sidecars(bundle, listing.list_concepts(found.concepts)).where("problem IS NOT NULL").select("dir", "problem"), documents.reserved_files(held, bundle.reserved)
     if args.directory is not None:
-        inside = F.col("dir") == args.directory.strip("/")
-        bodies = bodies.where(inside | F.col("dir").startswith(args.directory.strip("/") + "/") if args.recurse else inside)
-    old = scan.read_files(spark, bundle, "index.md").select("rel_path", F.decode("content", "UTF-8").alias("content"))
-    out = []
-    for r in bodies.select(F.concat(F.when(F.col("dir") == "", "").otherwise(F.concat("dir", F.lit("/"))), F.lit("index.md")).alias("rel_path"), "body").join(old, "rel_path", "left").orderBy("rel_path").toLocalIterator():
-        path = os.path.join(bundle.root, r["rel_path"])
-        body = f"---\n{bundle.version_key}: \"{bundle.version}\"\n---\n{r['body']}" if r["rel_path"] == "index.md" and bundle.version else r["body"]
-        status = "unchanged" if r["content"] == body else "exists" if r["content"] is not None and not args.force else "written"
-        if status == "written" and not args.dry_run:
-            with open(path, "w", encoding="utf-8") as f:
-                f.write(body)
-        out.append({"path": r["rel_path"], "status": status})
-    return {"indexes": out}, int(any(x["status"] == "exists" for x in out))
+        top = args.directory.strip("/")
+        inside = (F.col("dir") == top) | (F.lit(args.recurse) & (F.col("dir").startswith(top + "/") | F.lit(not top)))
+        plans, problems, reserved = plans.where(inside), problems.where(inside), reserved.where(inside)
+    plans = store(plans.drop("dir"), "plans")
+    done = {} if args.dry_run else {r["rel_path"]: r["status"] for r in rows(writes.apply(plans, bundle.root, bundle.version_key))}
+    planned = rows(plans.select("rel_path", "changed", F.col("original").isNull().alias("new")).orderBy("rel_path"))
+    out = [{"path": r["rel_path"], "status": "unchanged" if not r["changed"] else done.get(r["rel_path"], "planned")} for r in planned]
+    out = {"indexes": out, "problems": rows(problems) + rows(listing.missing_type(found.concepts)) + rows(found.problems), "excluded_reserved_files": rows(reserved.orderBy("dir", "filename"))}
+    return out, int(bool(out["problems"]) or any(x["status"] not in ("written", "unchanged", "planned") for x in out["indexes"]))
 
 
 def _require_writable(spark, bundle: Bundle) -> None:
@@ -153,10 +195,8 @@ def _write(spark, bundle: Bundle, plans: DataFrame, dry_run: bool) -> dict:
     _require_writable(spark, bundle)
     if dry_run:
         return {"plans": rows(plans.where("changed OR problem IS NOT NULL").select("rel_path", "proposed", "problem"))}
-    from .sources.scratch import store
-
     plans = store(plans, "plans")
-    return {"written": rows(writes.apply(plans, bundle.root)), "problems": rows(plans.where("problem IS NOT NULL").select("rel_path", "problem"))}
+    return {"written": rows(writes.apply(plans, bundle.root, bundle.version_key)), "problems": rows(plans.where("problem IS NOT NULL").select("rel_path", "problem"))}
 
 
 def _one(spark, bundle: Bundle, path: str, change: Callable[[str], str], dry_run: bool):
@@ -186,25 +226,35 @@ def cmd_stable_id(spark, bundle, args):
 def cmd_move(spark, bundle, args):
     found, graph = _graph(spark, bundle)
     old, new = (p if p.endswith(".md") else paths.id_to_path(p) for p in (args.source, args.dest))
-    if not found.problems.isEmpty():
-        return {"problems": rows(found.problems)}, 1
-    held = found.concepts.where(F.col("rel_path") == old).select("sha256").first()
-    if held is None:
+    for path in (old, new):
+        paths.path_to_id(path, bundle.reserved)
+    unread = scan.parse_problems(found.problems)
+    if not unread.isEmpty():  # what links they have is unknown
+        return {"problems": rows(unread)}, 1
+    if found.concepts.where(F.col("rel_path") == old).isEmpty():
         raise Usage(f"no file {old}")
-    plans = writes.plan_move(found.concepts.select("rel_path", "content"), graph.links.unionByName(graph.broken), old, new)
+    if old == new:
+        return {"moved": "unchanged"}, 0
+    plans = store(writes.plan_move(found.concepts.select("rel_path", "content"), graph.links.unionByName(graph.broken), old, new), "plans")
+    own = plans.where(F.col("rel_path") == old).first()
     out = _write(spark, bundle, plans, args.dry_run)
     if args.dry_run:
         return out, 0
-    with open(os.path.join(bundle.root, old), "rb") as f:
-        now = hashlib.sha256(f.read()).hexdigest()
-    out["moved"] = writes.move_file(bundle.root, old, new, now)
-    return out, int(out["moved"] != "moved")
+    if any(w["status"] not in ("written", "unchanged") for w in out["written"]) or out["problems"]:
+        return out, 1
+    out["moved"] = writes.move_file(bundle.root, old, new, own["proposed_sha256"])
+    if out["moved"] == "moved":
+        folders = sorted({os.path.dirname(p) for p in (old, new)})
+        again = store(_index_plans(spark, bundle, _manifest(spark, bundle)).where(F.col("dir").isin(*folders) & F.col("original").isNotNull()).drop("dir"), "plans")
+        out["indexes"] = rows(writes.apply(again, bundle.root, bundle.version_key))
+    return out, int(out["moved"] != "moved" or any(w["status"] not in ("written", "unchanged") for w in out["indexes"]))
 
 
 def cmd_graph_repair(spark, bundle, args):
     found, graph = _graph(spark, bundle)
-    if not found.problems.isEmpty():
-        return {"problems": rows(found.problems)}, 1
+    unread = scan.parse_problems(found.problems)
+    if not unread.isEmpty():
+        return {"problems": rows(unread)}, 1
     moved = None
     if args.moves:
         with open(args.moves, encoding="utf-8") as f:
@@ -261,13 +311,13 @@ def _parser() -> argparse.ArgumentParser:
     on = {"action": "store_true"}
     add("list-bundles", None, bundle=False)
     add("orient", None, bundle=False)
-    add("scan", cmd_scan, ("--quiet", on))
+    add("scan", cmd_scan, ("--quiet", on), ("--output", {"help": "folder for tables of JSON lines"}))
     add("validate", cmd_validate, ("--quiet", on))
     add("list-concepts", cmd_list_concepts, ("--with-graph-counts", on), ("--with-content", on))
     add("search", cmd_search, ("query", {}), ("--limit", {"type": int, "default": 10}), ("--no-refresh", on))
     add("unlinked-mentions", cmd_unlinked_mentions, ("--apply", on), ("--select", {"action": "append"}), ("--heading", {"default": "See also"}), ("--heading-level", {"type": int, "default": 2}), dry=True)
     add("context", cmd_context, ("--seed", {"action": "append", "required": True}), ("--depth", {"type": int, "default": 1}), ("--direction", {"choices": context.DIRECTIONS, "default": "both"}), ("--budget-chars", {"type": int}))
-    add("graph", cmd_graph, ("--concept", {}), ("--depth", {"type": int, "default": 1}), ("--broken", on))
+    add("graph", cmd_graph, ("--concept", {}), ("--depth", {"type": int, "default": 1}), ("--broken", on), ("--output", {"help": "folder for tables of JSON lines"}))
     add("index", cmd_index, ("--directory", {}), ("--recurse", on), ("--force", on), ("--quiet", on), dry=True)
     add("stable-id", cmd_stable_id, ("concept", {"nargs": "?"}), ("--write", on), ("--force", on))
     add("move", cmd_move, ("source", {}), ("dest", {}), dry=True)
@@ -302,4 +352,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"error: {e}", file=sys.stderr)
         return 2
     print(json.dumps(out, indent=2, ensure_ascii=False, default=str))
+    if counts := [f"{len(v)} {k}" for k, v in out.items() if isinstance(v, list)]:
+        print(f"{args.command}: {', '.join(counts)}", file=sys.stderr)
     return code

@@ -23,6 +23,7 @@ class VersionError(ValueError):
 
 
 def parse_version(text: str) -> tuple[int, int]:
+    # Fixed value: how a version is written.
     m = re.fullmatch(r"(0|[1-9]\d*)\.(0|[1-9]\d*)", text) if isinstance(text, str) else None
     if not m:
         raise VersionError(f"Invalid version: {text!r}")

@@ -32,6 +32,12 @@ def id_to_path(concept: str) -> str:
     return f"{concept}.md"
 
 
+def path_of_id(concept: Column) -> Column:
+    """id_to_path() as an expression; null where that refuses."""
+    bad = (F.trim(concept) == "") | concept.rlike(r"[\\:]|^/|//|/$|(?:^|/)\.\.?(?:/|$)") | concept.rlike(r"[^/.]\.[^/]*$")
+    return F.when(~bad, F.concat(concept, F.lit(".md")))
+
+
 def path_to_id(rel_path: str, reserved: tuple[str, ...] = ("index.md", "log.md")) -> str:
     if rel_path.startswith(("../", "/")) or rel_path == ".." or not rel_path.endswith(".md"):
         raise ConceptPathError(f"Not a concept path: {rel_path!r}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import frontmatter, index_doc, log_doc
 from ..functions.markdown import normalise_href
+from ..functions.paths import is_reserved
 
 
 def parse_indexes(indexes: DataFrame) -> DataFrame:
@@ -66,12 +67,19 @@ def parse_sidecars(sidecars: DataFrame) -> DataFrame:
     return sidecars.select("dir", "content").mapInPandas(run, "dir string, title string, description string, problem string")
 
 
-def generate_entries(listing: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
+def reserved_files(files: DataFrame, reserved: tuple[str, ...]) -> DataFrame:
+    """dir and filename of the files that no index lists, as their names are reserved."""
+    held = files.where(is_reserved(F.col("rel_path"), reserved))
+    return held.select(folder_of(F.col("rel_path")).alias("dir"), F.substring_index("rel_path", "/", -1).alias("filename"))
+
+
+def generate_entries(listing: DataFrame, sidecars: DataFrame | None = None, describe: Callable[[str], str | None] | None = None) -> DataFrame:
     """dir, heading, title, link, description, ordinal: what a fresh index of each folder lists.
 
     A folder's own concepts stand under their type, by lower-cased title; the folders in it that hold concepts under
-    Subdirectories, with the title and description of their sidecar (dir, title, description) if there is one. listing
-    has concept_id, rel_path, type, title, description.
+    Subdirectories, with the title and description of their sidecar (dir, title, description) if there is one; describe is
+    asked, by its path, about a folder without a description, and its answer becomes one line. listing has concept_id,
+    rel_path, type, title, description.
     """
     name = F.substring_index("rel_path", "/", -1)
     own = listing.select(folder_of(F.col("rel_path")).alias("dir"), F.lit(0).alias("last"), F.col("type").alias("kind"), title_case(F.col("type")).alias("heading"), F.coalesce("title", F.substring_index("concept_id", "/", -1)).alias("title"), href_of(name).alias("link"), "description")
@@ -80,6 +88,9 @@ def generate_entries(listing: DataFrame, sidecars: DataFrame | None = None) -> D
     none = F.lit(None).cast("string")
     below = below.join(told, "dir", "left") if told is not None else below.withColumns({"_title": none, "_told": none})
     name = F.substring_index("dir", "/", -1)
+    if describe is not None:
+        asked = F.pandas_udf(lambda folders: folders.map(lambda d: " ".join((describe(d) or "").split()) or None), "string")
+        below = below.withColumn("_told", F.coalesce("_told", asked("dir")))
     below = below.select(folder_of(F.col("dir")).alias("dir"), F.lit(1).alias("last"), F.lit("").alias("kind"), F.lit("Subdirectories").alias("heading"), F.coalesce("_title", name).alias("title"), href_of(F.concat(name, F.lit("/"))).alias("link"), F.col("_told").alias("description"))
     return own.unionByName(below)
 

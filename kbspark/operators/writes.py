@@ -38,6 +38,11 @@ def plan(files: DataFrame, change: Callable[..., str], arguments: tuple[str, ...
     return planned.select("rel_path", "original", F.sha2("original", 256).alias("original_sha256"), "proposed", F.sha2("proposed", 256).alias("proposed_sha256"), (F.col("proposed") != F.col("original")).alias("changed"), "problem")
 
 
+def plan_contents(files: DataFrame) -> DataFrame:
+    """Plans from rel_path, content (null: there must be no such file yet) and proposed."""
+    return files.select("rel_path", F.col("content").alias("original"), F.sha2("content", 256).alias("original_sha256"), "proposed", F.sha2("proposed", 256).alias("proposed_sha256"), (~F.col("content").eqNullSafe(F.col("proposed"))).alias("changed"), F.lit(None).cast("string").alias("problem"))
+
+
 def _rewrite(content: str, pairs) -> str:
     return patching.rewrite_links(content, {p["old"]: p["new"] for p in pairs})
 
@@ -111,39 +116,63 @@ def write_safety(root_index: str | None, version_key: str = "format_version") ->
         return str(e)
 
 
-def _apply_one(root: str, rel_path: str, before: str, after: str) -> tuple[str, str]:
-    """Replace a file whose hash is still before by one whose hash is after."""
+def _apply_one(root: str, rel_path: str, before: str | None, after: str) -> tuple[str, str]:
+    """Replace a file whose hash is still before by one whose hash is after; before None: make a file that isn't there."""
     top = os.path.realpath(root)
     path = os.path.realpath(os.path.join(top, rel_path))
     if not path.startswith(top + os.sep) or os.path.islink(os.path.join(top, rel_path)):
         return rel_path, "unsafe"
+    data, held = after.encode(), None
     try:
         with open(path, "rb") as f:
             held = hashlib.sha256(f.read()).hexdigest()
     except OSError:
-        return rel_path, "missing"
-    data = after.encode()
+        if before is not None or not os.path.isdir(os.path.dirname(path)):
+            return rel_path, "missing"
     if held == hashlib.sha256(data).hexdigest():
         return rel_path, "unchanged"
     if held != before:
         return rel_path, "conflict"
     handle, name = tempfile.mkstemp(dir=os.path.dirname(path))
-    with os.fdopen(handle, "wb") as f:
-        f.write(data)
-        f.flush()
-        os.fsync(f.fileno())
-    os.chmod(name, os.stat(path).st_mode & 0o7777)
-    os.replace(name, path)
+    try:
+        with os.fdopen(handle, "wb") as f:
+            f.write(data)
+            f.flush()
+            os.fsync(f.fileno())
+        if before is None:
+            os.chmod(name, 0o644)
+            os.link(name, path)
+            os.unlink(name)
+        else:
+            os.chmod(name, os.stat(path).st_mode & 0o7777)
+            os.replace(name, path)
+    except FileExistsError:  # made by another since it was looked for
+        os.unlink(name)
+        return rel_path, "conflict"
     return rel_path, "written"
 
 
-def apply(plans: DataFrame, root: str) -> DataFrame:
+class UnsafeBundle(ValueError):
+    """A bundle that must not be written to."""
+
+
+def apply(plans: DataFrame, root: str, version_key: str = "format_version") -> DataFrame:
     """rel_path and status of each changed plan. root is a folder that all executors share.
 
+    Nothing is written if the root index, as it is now, declares a version that can't be written (UnsafeBundle).
+
     A file is written only if its hash is still the one planned for. Running a task again is harmless: what it wrote is
     found unchanged. Files are not written together; a failure leaves the others' results.
     """
 
+    try:
+        with open(os.path.join(root, "index.md"), encoding="utf-8", errors="replace") as f:
+            index = f.read()
+    except OSError:
+        index = None
+    if why := write_safety(index, version_key):
+        raise UnsafeBundle(why)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([_apply_one(root, *r) for r in batch.itertuples(index=False)], columns=["rel_path", "status"])

@@ -71,6 +71,14 @@ def fts_postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("term", "concept_id").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+@query(_BM25 + "SELECT concept_id, round(score, 6) AS score FROM hit")
+def search_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters with marks, in the query and, as one character or two, in the texts, are found as those without."""
+    rows = search_rows(spark, sf_dir)
+    marks = lambda c: F.when(F.length(c) % 2 == 0, F.translate(c, "eEo", "éÉö")).otherwise(F.replace(c, F.lit("e"), F.lit("e\u0301")))
+    return search.bm25(rows.withColumn("body", marks("body")), "réedes TḢE").select("concept_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(search_rows(spark, sf_dir), TERMS, 10).select("concept_id", "title", F.round("score", 6).alias("score"), "snippet")
@@ -79,6 +87,34 @@ def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- scan and listing ----
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The files of a bundle at two times: of the second a tenth is gone, a third changed, another tenth new."""
+    base = "'---' || chr(10) || 'type: customer' || chr(10) || 'sid: ' || {} || chr(10) || '---' || chr(10) || c_name"
+    rows = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey") % 10)
+    made = lambda r, sid, time: r.select(F.expr("'customer/' || c_custkey || '.md'").alias("rel_path"), F.expr(time).cast("long").alias("mtime_ms"), F.expr(base.format(sid)).alias("text"))
+    of = lambda r: r.select("rel_path", "mtime_ms", F.octet_length("text").cast("long").alias("size"), F.encode("text", "UTF-8").alias("content"))
+    return of(made(rows.where("k != 9"), "c_custkey", "1")), of(made(rows.where("k != 8"), _SID, "CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END"))
+
+
+#: Stable ids at the second time: of changed customers some are blank and some are those of others.
+_SID = "CASE WHEN c_custkey % 3 != 0 OR c_custkey % 10 = 9 THEN '' || c_custkey WHEN c_custkey % 2 = 0 THEN '' || (c_custkey + 1) ELSE chr(39) || chr(39) END"
+
+
+@query(f"""
+WITH c AS (SELECT 'customer/' || c_custkey || '.md' AS rel_path, nullif({_SID}, chr(39) || chr(39)) AS sid FROM customer WHERE c_custkey % 10 != 8),
+n AS (SELECT *, count(*) OVER (PARTITION BY sid) AS n FROM c)
+SELECT rel_path, coalesce(sid, '') AS sid, CASE WHEN sid IS NULL THEN 'stable-id-missing' WHEN n > 1 THEN 'stable-id-conflict' ELSE '' END AS kind FROM n
+""")
+def refresh_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second refresh parses what changed, and judges the stable ids of all."""
+    first, second = _versions(spark, sf_dir)
+    bundle = Bundle("customers", "/customers", stable_id_field="sid")
+    cached = scan.manifest_of(first, bundle).concepts
+    changed = second.join(cached.select(*cache.KEYS), cache.KEYS, "left_anti")
+    found = cache.snapshot_manifest(*cache.settle(cached, second, changed, bundle), bundle)
+    return found.concepts.select("rel_path", F.coalesce("stable_id", F.lit("")).alias("sid")).join(found.problems.select("rel_path", "kind"), "rel_path", "left").fillna("", ["kind"])
+
+
 @query(f"SELECT {DOCUMENT_ID} AS concept_id, octet_length(encode({DOCUMENT_FILE}))::BIGINT AS size, sha256({DOCUMENT_FILE}) AS sha256, length(coalesce(text, ''))::BIGINT AS body_chars FROM documents")
 def scan_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.expr(f"{DOCUMENT_ID} || '.md'").alias("rel_path"), F.expr(DOCUMENT_FILE).alias("content"))
@@ -523,21 +559,26 @@ def inline_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'folder/' || p_partkey || '.md' END AS rel_path, CASE WHEN p_partkey % 4 = 0 THEN 'folder/' || p_partkey END AS concept_id FROM part")
 def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.udf("string")
-    def path_of(concept: str) -> str | None:
-        try:
-            return paths.id_to_path(concept)
-        except paths.ConceptPathError:
-            return None
-
     ids = table(spark, sf_dir, "part").select("p_partkey", F.expr("CASE p_partkey % 4 WHEN 0 THEN 'folder/' || p_partkey WHEN 1 THEN 'a/../b' WHEN 2 THEN 'v1.' || p_partkey ELSE 'c:d' END").alias("id"))
-    found = ids.select("p_partkey", path_of("id").alias("rel_path"))
+    found = ids.select("p_partkey", paths.path_of_id(F.col("id")).alias("rel_path"))
     return found.select("p_partkey", "rel_path", paths.concept_id(F.col("rel_path")).alias("concept_id"))
 
 
 # ---- more of the above ----
 
 
+@query(_BM25 + "SELECT concept_id, round(score, 6) AS score FROM hit")
+def search_stored_index_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the first refresh lacks some rows and has others of old texts and of rows that are gone."""
+    path, rows = fresh_path(spark, "index"), search_rows(spark, sf_dir)
+    kind = F.pmod(F.crc32("concept_id"), F.lit(4))
+    old = rows.where(kind != 0).withColumn("body", F.when(kind == 1, F.lit("the reedes of old")).otherwise(F.col("body")))
+    gone = rows.where(kind == 2).withColumn("concept_id", F.concat("concept_id", F.lit("-gone")))
+    search.refresh_index(old.unionByName(gone), path)
+    search.refresh_index(rows, path)
+    return search.search_index(spark, path, TERMS).select("concept_id", F.round("score", 6).alias("score"))
+
+
 @query(_BM25 + "SELECT concept_id, round(score, 6) AS score FROM hit")
 def search_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "index")

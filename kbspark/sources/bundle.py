@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,11 +30,17 @@ class Manifest:
     problems: DataFrame
 
 
-def read_files(spark: SparkSession, bundle: Bundle, pattern: str = "*.md") -> DataFrame:
-    """Files under the root by relative path. A missing root is an empty bundle. Path filters reach the listing's scan."""
+def read_files(spark: SparkSession, bundle: Bundle, pattern: str = "*.md", only: list[str] | None = None) -> DataFrame:
+    """Files under the root by relative path; only: those of these relative paths. A missing root is an empty bundle.
+
+    Content is read only by plans that use it, so keys alone are a listing.
+    """
     root = bundle.root.rstrip("/")
+    places = root if only is None else [f"{root}/{re.sub(r'([\\*?\[\]{}])', r'\\\1', path)}" for path in only]
+    if not places:
+        return spark.createDataFrame([], FILES)
     try:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(places)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -41,6 +50,28 @@ def read_files(spark: SparkSession, bundle: Bundle, pattern: str = "*.md") -> Da
     return raw.select(rel.alias("rel_path"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"), "content")
 
 
+def read_beside(folders: DataFrame, bundle: Bundle, name: str) -> DataFrame:
+    """dir and content of the files of a name in folders (dir), opened by their paths.
+
+    Spark's listings leave out files whose names begin with an underscore, as those of sidecars do.
+    """
+    root = bundle.root.rstrip("/")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, top = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
+        for batch in batches:
+            out = []
+            for folder in batch["dir"]:
+                try:
+                    with files.open_input_stream("/".join(filter(None, (top, folder, name)))) as f:
+                        out.append((folder, f.read().decode("utf-8", "replace")))
+                except FileNotFoundError:
+                    continue
+            yield pd.DataFrame(out, columns=["dir", "content"])
+
+    return folders.select("dir").mapInPandas(run, "dir string, content string")
+
+
 def chosen(rel_path: Column, bundle: Bundle) -> Column:
     included = paths.matches_any(rel_path, bundle.include, True)
     return included & ~paths.matches_any(rel_path, bundle.exclude, False) & ~paths.is_reserved(rel_path, bundle.reserved)
@@ -89,6 +120,16 @@ def stable_id_conflicts(concepts: DataFrame) -> DataFrame:
     return concepts.select("rel_path", "stable_id").join(counts, "stable_id")
 
 
+def stable_id_members(concepts: DataFrame) -> DataFrame:
+    """stable_id and rel_path of every concept whose id others have, by id: who is in which conflict."""
+    return stable_id_conflicts(concepts).select("stable_id", "rel_path").orderBy("stable_id", "rel_path")
+
+
+def parse_problems(problems: DataFrame) -> DataFrame:
+    """The problems of files that couldn't be read as documents: those that hide what the file says."""
+    return problems.where(~F.col("kind").startswith("stable-id"))
+
+
 def manifest_of(files: DataFrame, bundle: Bundle) -> Manifest:
     """A manifest from any table with the columns of FILES."""
     parsed = parse_files(files.where(chosen(F.col("rel_path"), bundle)).dropDuplicates(["rel_path"]))

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Bundle
-from .bundle import Manifest, chosen, manifest_of, read_files, stable_ids
+from .bundle import Manifest, chosen, manifest_of, parse_problems, read_files, stable_id_problems, stable_ids
+from .scratch import store
 
 KEYS = ["rel_path", "mtime_ms", "size"]
+#: Changed files that are opened by their paths, which the driver lists.
+MOST_LISTED = 10_000
 
 
 def diff(cached: DataFrame, listing: DataFrame) -> DataFrame:
@@ -38,23 +41,48 @@ def save(concepts: DataFrame, folder: str) -> None:
     concepts.sparkSession.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/latest")
 
 
+def settle(cached: DataFrame, listing: DataFrame, changed: DataFrame, bundle: Bundle) -> tuple[DataFrame, DataFrame]:
+    """The concepts after a refresh, and the problems of files that couldn't be read.
+
+    cached: the snapshot's concepts; listing: the keys of the files there are now; changed: the files (with content) whose
+    keys aren't in the snapshot. A file that couldn't be read is in no snapshot, so it is read again each time.
+    """
+    found = manifest_of(changed, bundle)
+    fresh = cached.join(listing.select(*KEYS), KEYS, "left_semi")
+    return fresh.unionByName(found.concepts, allowMissingColumns=True), parse_problems(found.problems)
+
+
+def snapshot_manifest(concepts: DataFrame, problems: DataFrame, bundle: Bundle) -> Manifest:
+    """A manifest of stored concepts. Problems of stable ids are those of all concepts, whichever of them changed last."""
+    concepts = stable_ids(concepts, bundle.stable_id_field)
+    return Manifest(bundle, concepts, problems.unionByName(stable_id_problems(concepts, bundle.stable_id_field)))
+
+
 def refresh(spark: SparkSession, bundle: Bundle) -> Manifest:
     """A scan that parses only files whose size or time differ from the snapshot, and saves the result.
 
-    Files without a change are matched by keys before their content is read. Rows of files that are gone are dropped.
+    Paths, sizes and times are listed first; then up to MOST_LISTED changed files are opened by their paths. Of more, which
+    is a first scan or a bundle changed throughout, all contents are scanned. Rows of files that are gone are dropped.
+    Without any change nothing is written.
     """
     if bundle.cache_dir is None:
         return manifest_of(read_files(spark, bundle), bundle)
-    files, cached = read_files(spark, bundle), load(spark, bundle.cache_dir)
+    cached = load(spark, bundle.cache_dir)
     if cached is None:
-        found = manifest_of(files, bundle)
+        found = manifest_of(read_files(spark, bundle), bundle)
         save(found.concepts, bundle.cache_dir)
-        return Manifest(bundle, stable_ids(load(spark, bundle.cache_dir), bundle.stable_id_field), found.problems)
-    keys = files.where(chosen(F.col("rel_path"), bundle)).select(*KEYS)
-    fresh = cached.join(keys, KEYS, "left_semi")
-    found = manifest_of(files.join(cached.select(*KEYS), KEYS, "left_anti"), bundle)
-    save(fresh.unionByName(found.concepts, allowMissingColumns=True), bundle.cache_dir)
-    return Manifest(bundle, stable_ids(load(spark, bundle.cache_dir), bundle.stable_id_field), found.problems)
+        return snapshot_manifest(load(spark, bundle.cache_dir), parse_problems(found.problems), bundle)
+    listing = store(read_files(spark, bundle).where(chosen(F.col("rel_path"), bundle)).select(*KEYS), "listing")
+    differ = listing.join(cached.select(*KEYS), KEYS, "left_anti")
+    paths = [r.rel_path for r in differ.select("rel_path").limit(MOST_LISTED + 1).collect()]
+    if len(paths) <= MOST_LISTED:
+        changed = read_files(spark, bundle, only=paths)
+    else:
+        changed = read_files(spark, bundle).join(differ.select("rel_path"), "rel_path", "left_semi")
+    concepts, problems = settle(cached, listing, changed, bundle)
+    if paths or listing.count() != cached.count():
+        save(concepts, bundle.cache_dir)
+    return snapshot_manifest(load(spark, bundle.cache_dir), problems, bundle)
 
 
 def changed_ranks(old: DataFrame, new: DataFrame, least: float = 1e-12) -> DataFrame:

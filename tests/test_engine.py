@@ -4,6 +4,7 @@ import hashlib
 import json
 import re
 import sqlite3
+import unicodedata
 from pathlib import Path
 
 import pytest
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from kbspark.cli import main
 from kbspark.config import Bundle, ConfigError, Profile, Taxonomy, load
 from kbspark.functions import text
-from kbspark.operators import context, links, listing, mentions, search, validate, writes
+from kbspark.operators import context, documents, links, listing, mentions, search, validate, writes
 from kbspark.sources import bundle as scan
 from kbspark.sources import cache
 from kbspark.streaming.refresh import stream
@@ -97,13 +98,65 @@ def test_search_agrees_with_fts5(spark):
         search.search(docs, "alpha", -1)
 
 
-def test_stored_index(spark, tmp_path):
-    rows = [("a", "Same", "", "", "one two"), ("b", "Same", "", "", "one three one")]
+def test_letters_fold_as_fts5_folds_them():
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE f USING fts5(x, tokenize='unicode61')")
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(f, 'row')")
+    letters = [c for c in map(chr, [*range(0xC0, 0x370), *range(0x370, 0x528), *range(0x1E00, 0x2000)]) if c.isalpha() and unicodedata.category(c) != "Lm" and c not in "\u037f"]
+    for c in letters:
+        db.execute("DELETE FROM f")
+        db.execute("INSERT INTO f VALUES (?)", (f"x{c}y",))
+        assert [r[0] for r in db.execute("SELECT term FROM v")] == [f"x{text.fold(c)}y"], (c, hex(ord(c)))
+    for mark in map(chr, range(0x300, 0x340)):
+        db.execute("DELETE FROM f")
+        db.execute("INSERT INTO f VALUES (?)", (f"x{mark}y",))
+        assert ([r[0] for r in db.execute("SELECT term FROM v")] == ["xy"]) == (mark in text.MARKS)
+
+
+def test_folded_search_agrees_with_fts5(spark):
+    rows = [("a", "", "", "", "Čaj a káva"), ("b", "", "", "", "cafe\u0301 ΣΊΣΥΦΟΣ"), ("c", "ſtraße", "", "", "ÉCOLE caj ệ"), ("d", "", "", "", "İstanbul c\u030caj, x.")]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE f USING fts5(id UNINDEXED, title, description, fields, body, tokenize='unicode61')")
+    db.executemany("INSERT INTO f VALUES (?,?,?,?,?)", rows)
     docs = spark.createDataFrame(rows, "concept_id string, title string, description string, fields string, body string")
-    search.write_index(docs, str(tmp_path / "index"))
-    for q in ("one", "same three", "two three", ""):
-        wanted = {r.concept_id: round(r.score, 9) for r in search.bm25(docs, q).collect()}
-        assert {r.concept_id: round(r.score, 9) for r in search.search_index(spark, str(tmp_path / "index"), q).collect()} == wanted
+    for q in ("caj", "čaj", "CAFÉ", "straße", "école", "istanbul", "ệ", "σίσυφος"):
+        match = " AND ".join(f'"{w}"' for w in re.findall(r"\w+", q))
+        wanted = {i: (round(score, 9), cut) for i, score, cut in db.execute("SELECT id, bm25(f), snippet(f, -1, '[', ']', '...', 16) FROM f WHERE f MATCH ?", (match,))}
+        assert {r.concept_id: (round(r.score, 9), r.snippet) for r in search.search(docs, q).collect()} == wanted and wanted, q
+
+
+def test_fields_are_flattened_depth_first(spark):
+    value = {"b": [1, None, {"z": True, "a": "line\none"}], "a": None, "c": 1.5}
+    assert text.flat(value) == ["a", "b", "1", "a", "line\none", "z", "True", "c", "1.5"]
+    rows = spark.createDataFrame([({"tags": '["x","y"]', "n": "null", "at": '{"k":{"d":1}}'},), (None,), ({},)], "fields map<string,string>")
+    assert [r[0] for r in rows.select(search.fields_text(F.col("fields"))).collect()] == ["at\nk\nd\n1\nn\ntags\nx\ny", "", ""]
+
+
+def test_stored_index(spark, tmp_path, monkeypatch):
+    schema = "concept_id string, title string, description string, fields string, body string"
+    rows = {"a": ("Same", "", "", "one two x_y one"), "b": ("Same", None, "", "one three one"), "c": ("", "", "", "")}
+    path, queries = str(tmp_path / "index"), ("one", "same three", "two three", "", "x_y", "one_two", "one one", "gone")
+
+    def agree():
+        docs = spark.createDataFrame([(k, *v) for k, v in rows.items()], schema)
+        search.refresh_index(docs, path)
+        for q in queries:
+            wanted = {r.concept_id: round(r.score, 9) for r in search.bm25(docs, q).collect()}
+            assert {r.concept_id: round(r.score, 9) for r in search.search_index(spark, path, q).collect()} == wanted, q
+
+    agree()
+    segments = {p.name for p in (tmp_path / "index/postings").iterdir()}
+    agree()
+    assert {p.name for p in (tmp_path / "index/postings").iterdir()} == segments  # nothing changed
+    rows |= {"b": ("Same", "", "", "two one three"), "d": ("New", "one", "", "three")}
+    del rows["a"]
+    agree()
+    monkeypatch.setattr(search, "MOST_SEGMENTS", 2)
+    rows["e"] = ("e", "", "", "one two one_two")
+    agree()
+    assert cache.load(spark, f"{path}/documents").select("segment").distinct().count() == 1
+    with pytest.raises(search.SearchConfigError):
+        search.search_index(spark, str(tmp_path / "none"), "one")
 
 
 def test_context(spark):
@@ -151,6 +204,33 @@ def test_incremental_scan(spark, tmp_path):
     assert found == {"a": "longer text", "c": "three"}
 
 
+def test_warm_scans_find_what_cold_ones_do(spark, tmp_path, monkeypatch):
+    with_id = lambda i, body="x": f"---\ntype: t\nsid: {i}\n---\n{body}"
+    write(tmp_path / "docs", {"a.md": with_id("one"), "b.md": with_id("one"), "c.md": with_id("''"), "d [1].md": with_id("four"), "bad.md": "---\n"})
+    warm = Bundle("b", str(tmp_path / "docs"), cache_dir=str(tmp_path / "cache"), stable_id_field="sid")
+
+    def same():
+        found, cold = cache.refresh(spark, warm), scan.scan(spark, Bundle("b", str(tmp_path / "docs"), stable_id_field="sid"))
+        assert sorted(map(tuple, found.problems.collect())) == sorted(map(tuple, cold.problems.collect()))
+        assert sorted((r.concept_id, r.body, r.stable_id or "") for r in found.concepts.collect()) == sorted((r.concept_id, r.body, r.stable_id or "") for r in cold.concepts.collect())
+        return {(r.rel_path, r.kind) for r in found.problems.collect()}
+
+    first = {("a.md", "stable-id-conflict"), ("b.md", "stable-id-conflict"), ("c.md", "stable-id-missing"), ("bad.md", "parse-error")}
+    assert same() == first and same() == first
+    write(tmp_path / "docs", {"e.md": with_id("four")})
+    assert same() == first | {("d [1].md", "stable-id-conflict"), ("e.md", "stable-id-conflict")}
+    assert [tuple(r) for r in scan.stable_id_members(cache.refresh(spark, warm).concepts).collect()] == [("four", "d [1].md"), ("four", "e.md"), ("one", "a.md"), ("one", "b.md")]
+    opened = []
+    real = cache.read_files
+    monkeypatch.setattr(cache, "read_files", lambda *a, **k: opened.append(k.get("only")) or real(*a, **k))
+    write(tmp_path / "docs", {"d [1].md": with_id("five", "longer")})
+    same()
+    assert opened == [None, ["bad.md", "d [1].md"]] or opened == [None, ["d [1].md", "bad.md"]]
+    (tmp_path / "docs/a.md").unlink()
+    (tmp_path / "docs/bad.md").write_text(with_id("six"))
+    assert same() == {("c.md", "stable-id-missing")}
+
+
 def test_config(tmp_path):
     (tmp_path / "bundles.toml").write_text('[defaults]\nlisting_fields = ["owner"]\n[profiles.p]\nrequired = ["title"]\n[bundles.one]\nroot = "docs"\nprofile = "p"\n[bundles.two]\nroot = "/x"\nlisting_fields = []\n')
     found = load(tmp_path / "bundles.toml", {"stable_id_field": "id"})
@@ -190,6 +270,46 @@ def test_command_line(spark, tmp_path, capsys):
     assert run(capsys, spark, tmp_path, "list-bundles")[1][0]["name"] == "kb" and run(capsys, spark, tmp_path, "orient")[0] == 0
 
 
+def test_indexes_and_moves_of_the_command_line(spark, tmp_path, capsys):
+    write(tmp_path, {"bundles.toml": '[bundles.kb]\nroot = "docs"\n', "docs/index.md": '---\nformat_version: "0.1"\n---\nold\n', "docs/a.md": doc("x", "Alpha"), "docs/sub/b.md": doc("[me](b.md) [a](../a.md)", "Beta"), "docs/sub/_directory.yml": "title: Below\ndescription: what is\n  below\n", "docs/other/c.md": doc("y", "Gamma")})
+    code, out = run(capsys, spark, tmp_path, "index", "--dry-run")
+    assert code == 0 and {x["status"] for x in out["indexes"]} == {"planned"} and (tmp_path / "docs/index.md").read_text().endswith("old\n")
+    code, out = run(capsys, spark, tmp_path, "index")
+    assert code == 0 and {x["status"] for x in out["indexes"]} == {"written"} and out["excluded_reserved_files"] == [{"dir": "", "filename": "index.md"}]
+    root = (tmp_path / "docs/index.md").read_text()
+    assert root.startswith('---\nformat_version: "0.1"\n---\n') and "[Below](sub/) - what is below" in root
+    assert run(capsys, spark, tmp_path, "validate")[1]["index_drift"] == []
+    (tmp_path / "docs/other/index.md").unlink()
+    code, out = run(capsys, spark, tmp_path, "move", "sub/b", "other/b")
+    assert code == 0 and out["moved"] == "moved" and (tmp_path / "docs/other/b.md").read_text().endswith("[me](b.md) [a](../a.md)")
+    assert not (tmp_path / "docs/other/index.md").exists()
+    code, out = run(capsys, spark, tmp_path, "move", "a", "sub/a")
+    assert code == 0 and [x["rel_path"] for x in out["indexes"]] and "Alpha" not in (tmp_path / "docs/index.md").read_text() and "[Alpha](a.md)" in (tmp_path / "docs/sub/index.md").read_text()
+    assert "[a](../sub/a.md)" in (tmp_path / "docs/other/b.md").read_text()
+    assert run(capsys, spark, tmp_path, "index", "--force")[0] == 0 and not (tmp_path / "docs/index.md").read_text().startswith("---")
+    (tmp_path / "docs/index.md").write_text('---\nformat_version: "9.0"\n---\n')
+    assert run(capsys, spark, tmp_path, "index")[0] == 2
+    code, out = run(capsys, spark, tmp_path, "graph", "--output", str(tmp_path / "out"))
+    assert code == 0 and spark.read.json(out["links"]).count() == 2
+
+
+def test_new_files_are_made_only_where_none_is(spark, tmp_path):
+    write(tmp_path, {"there.md": "x"})
+    files = spark.createDataFrame([("new.md", None, "n"), ("there.md", None, "n"), ("no/such.md", None, "n")], "rel_path string, content string, proposed string")
+    assert {r.rel_path: r.status for r in writes.apply(writes.plan_contents(files), str(tmp_path)).collect()} == {"new.md": "written", "there.md": "conflict", "no/such.md": "missing"}
+    assert (tmp_path / "new.md").read_text() == "n" and (tmp_path / "there.md").read_text() == "x"
+    write(tmp_path, {"index.md": '---\nformat_version: "9.0"\n---\n'})
+    with pytest.raises(writes.UnsafeBundle):
+        writes.apply(writes.plan_contents(files), str(tmp_path))
+
+
+def test_folders_may_be_described_by_a_function(spark):
+    listed = spark.createDataFrame([("a/b/c", "a/b/c.md", "t", "C", None), ("d/e", "d/e.md", "t", "E", None)], "concept_id string, rel_path string, type string, title string, description string")
+    told = spark.createDataFrame([("d", "Dee", "its own")], "dir string, title string, description string")
+    found = documents.generate_entries(listed, told, lambda d: f"about\n{d} " if d != "a/b" else None).where("heading = 'Subdirectories'").collect()
+    assert {(r.link, r.description) for r in found} == {("a/", "about a"), ("b/", None), ("d/", "its own")}
+
+
 def test_apply_is_guarded(spark, tmp_path):
     write(tmp_path, {"a.md": "one\n", "b.md": "two\n", "c.md": "three\n"})
     files = spark.createDataFrame([("a.md", "one\n"), ("b.md", "stale\n"), ("c.md", "three\n"), ("../out.md", "x"), ("gone.md", "y")], "rel_path string, content string")
