@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +30,33 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    for paths in getattr(spark, "_kbspark_scopes", ()):
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[Stored], Stored]]:
+    """Scratch tables made inside are deleted at the end, but for those that the function given is called with.
+
+    Keep what is still to be read: a result that isn't stored yet reads the tables that it was made from.
+    """
+    scopes = spark._kbspark_scopes = getattr(spark, "_kbspark_scopes", [])
+    paths, kept = [], set()
+    scopes.append(paths)
+
+    def keep(table: Stored) -> Stored:
+        kept.add(table.path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        scopes.remove(paths)
+        for path in paths:
+            if path not in kept:
+                remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -66,6 +94,3 @@ def store(df: DataFrame, label: str) -> DataFrame:
     """Write df and read it back."""
     return stored(df, label).df
 
-
-def spread(scan: DataFrame) -> DataFrame:
-    return scan

@@ -1,12 +1,15 @@
 """The driver's entry module, with and without the dealt operators."""
 
 import importlib
+import os
 import sys
 
 import duckdb
 import pytest
 
+from kbspark.plans import corpus
 from kbspark.plans import queries as plans
+from kbspark.sources import scratch
 
 
 def test_entry_without_the_dealt_operators(monkeypatch):
@@ -18,6 +21,51 @@ def test_entry_without_the_dealt_operators(monkeypatch):
     assert set(module.queries()) == set(plans.QUERIES) and set(module.oracle_sql()) == set(plans.ORACLES)
     monkeypatch.undo()
     importlib.reload(__spark_entry__)
+    assert len(__spark_entry__.queries()) == len(plans.QUERIES) + 11
+
+
+def test_faults_of_the_dealt_operators_are_not_hidden(monkeypatch):
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    for name in [m for m in sys.modules if m.startswith("kbspark.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    with pytest.raises(ImportError):
+        importlib.reload(__spark_entry__)
+    monkeypatch.undo()
+    importlib.reload(__spark_entry__)
+
+
+class Elsewhere:
+    """A session as far as scratch folders ask it."""
+
+    def __init__(self, master, folder=None):
+        self.conf, self.sparkContext = self, self
+        self.master, self.folder, self.applicationId = master, folder, "app"
+
+    def get(self, key, default):
+        return self.folder or default
+
+
+def test_a_cluster_needs_a_shared_folder():
+    for master in ("spark://host:7077", "yarn", "k8s://https://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(scratch.NoSharedFolder):
+            scratch.fresh_path(Elsewhere(master), "x")
+        assert scratch.fresh_path(Elsewhere(master, "s3a://b/c"), "x").startswith("s3a://b/c/kbspark-app/x-")
+    assert scratch.scratch_dir(Elsewhere("local[4]")).startswith("file://")
+
+
+def test_scratch_tables_of_a_scope_are_deleted(spark):
+    before = scratch.stored(spark.range(3), "before")
+    with scratch.scope(spark) as keep:
+        gone, kept = scratch.stored(spark.range(4), "gone"), keep(scratch.stored(spark.range(5), "kept"))
+    assert before.df.count() == 3 and kept.df.count() == 5
+    assert not os.path.exists(gone.path.removeprefix("file://")) and os.path.exists(kept.path.removeprefix("file://"))
+
+
+def test_scans_are_as_files_split_them(spark):
+    rows = corpus.table(spark, "/root/testdata/sf0.001", "documents")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
 def test_entry(spark):
