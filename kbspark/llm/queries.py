@@ -64,6 +64,20 @@ def op4_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+#: CRC-32 over the bytes of a text, with its table made by the rule; then the ranks and cuts of interleave() by plain windows.
+OP4_SQL = r"""
+WITH bits AS (SELECT b, list_reduce(list_prepend(b::UBIGINT, [i::UBIGINT FOR i IN range(8)]), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) t(b)),
+crc AS (SELECT list(v ORDER BY b) AS t FROM bits),
+d AS (SELECT doc_id, source, encode(coalesce(text, '')) AS bytes FROM documents),
+h AS (SELECT doc_id, source, octet_length(bytes) + 1 AS size, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS k,
+  xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, [('0x' || x)::UBIGINT FOR x IN regexp_extract_all(hex(bytes), '..')]),
+    lambda c, x: xor(c >> 8, t[(xor(c & 255, x) + 1)::BIGINT])))::BIGINT AS text_crc32 FROM d, crc),
+r AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY k, doc_id, size, text_crc32) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS fraction FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, k, doc_id, source, size, text_crc32) - 1 AS pos, count(*) OVER () AS total FROM r)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (pos * 16 // total)::INT AS shard, (pos - (pos * 16 // total * total + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard, source FROM p
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.find_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -187,4 +201,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {"op3_chat_format": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_suffix_automata": OP7_SQL, "op8_warc": OP8_SQL, "op9_decontaminate": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_shard_interleave": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op7_suffix_automata": OP7_SQL, "op8_warc": OP8_SQL, "op9_decontaminate": OP9_SQL}

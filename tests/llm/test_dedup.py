@@ -82,6 +82,53 @@ def test_repeated_rows_are_dropped(spark):
     assert exact_dedup.drop_repeats(many).count() == 1
 
 
+def test_history_is_kept_and_looked_up(spark):
+    """Three corpora, one after another: what the history knows goes, whatever its ids."""
+    corpora = [[(5, "a b"), (6, "a  b"), (7, "c")], [(1, "a\tb"), (2, "d"), (3, "d"), (None, "e")], [(9, "e"), (9, "d"), (8, "new"), (8, None), (10, "")]]
+    known, seen = {}, spark.createDataFrame([], "digest binary, first long, n long")
+    for k, rows in enumerate(corpora):
+        docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, known string")
+        found = exact_dedup.find_repeats(docs, history=seen).collect()
+        norm = [(i, " ".join((t or "").split())) for i, t in rows]
+        for r, t in zip(sorted(found, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.digest)), sorted(norm, key=lambda x: (x[0] is None, x[0] or 0, hashlib.sha256(x[1].encode()).digest())), strict=True):
+            here = [i for i, x in norm if x == t[1]]
+            first = known[t[1]][0] if t[1] in known else min((i for i in here if i is not None), default=None)
+            assert (r.doc_id, r.keep_id, r.known) == (t[0], first, t[1] in known), (k, t)
+            assert r.group_size == len(here) + (known[t[1]][1] if t[1] in known else 0)
+            assert r.kept == (t[1] not in known and r.doc_id == first)
+        left = exact_dedup.drop_repeats(docs, history=seen)
+        assert sorted(" ".join((r.text or "").split()) for r in left.collect()) == sorted({t for _, t in norm} - set(known))
+        seen = spark.createDataFrame(seen.unionByName(exact_dedup.history_of(left)).collect(), seen.schema)
+        for r in seen.collect():
+            t = next(t for t in {x for _, x in norm} | set(known) if hashlib.sha256(t.encode()).digest() == bytes(r.digest))
+            known[t] = (r.first, r.n)
+
+
+def test_ids_may_be_strings(spark):
+    """Every operator on ids that no number can be made of finds what it finds on numbers in the same order."""
+    rows = [(i, t) for i, t, *_ in awkward(3, 60)]
+    name = lambda i: None if i is None else f"doc-{i:05}"
+    numbers = spark.createDataFrame(rows, "doc_id long, text string")
+    names = spark.createDataFrame([(name(i), t) for i, t in rows], "doc_id string, text string")
+    bench = spark.createDataFrame([(1, "a b a a b a a b a a")], "item_id long, text string")
+    same = lambda x, y: sorted((tuple(name(v) if k in ids else v for k, v in enumerate(r)) for r in x.collect()), key=repr) == sorted(map(tuple, y.collect()), key=repr)
+    ids = {0, 2}
+    assert same(*(exact_dedup.find_repeats(d).drop("known") for d in (numbers, names)))
+    assert same(*(near_dedup.near_groups(d, near_dedup.Plan(3, 85, 8)) for d in (numbers, names)))
+    ids = {0}
+    assert same(*(substring_dedup.remove_passages(d, 12) for d in (numbers, names)))
+    assert same(*(decontaminate.find_leaks(d, bench) for d in (numbers, names)))
+    assert same(*(exact_dedup.drop_repeats(d) for d in (numbers, names)))
+    assert same(*(near_dedup.drop_near(d) for d in (numbers, names)))
+
+
+def test_rows_of_one_id_take_nothing_from_one_another(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(5, "x " + passage), (5, passage + " y"), (5, passage + " y"), (9, "z " + passage), (None, passage)]
+    found = substring_dedup.remove_passages(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in found) == [(0, 30, 0), (5, 31, 0), (5, 31, 0), (5, 31, 0), (9, 31, 30)]
+
+
 def shingle_set(text, width):
     words = (text or "").translate({i: i + 32 for i in range(65, 91)})
     words = re.findall(r"[^\x20\x09-\x0D]+", words)

@@ -1,6 +1,7 @@
 """Formatting, sharding, packing, WARC, language ID and quality."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -92,6 +93,70 @@ def test_packing(spark, monkeypatch, capacity):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def plain_best_fit(items, capacity):
+    """Items (size, source, cluster) in order: each into the bin with least room that takes it, else into a new one."""
+    bins, out = [], []
+    for size, source, cluster in items:
+        fits = [(capacity - sum(x[0] for x in b), i) for i, b in enumerate(bins) if sum(x[0] for x in b) + size <= capacity and not any((x[1] == source and source is not None) or (x[2] == cluster and cluster is not None) for x in b)]
+        at = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append([])
+        out.append((at, sum(x[0] for x in bins[at])))
+        bins[at].append((size, source, cluster))
+    return out
+
+
+def test_packing_agrees_with_plain_best_fit(spark, monkeypatch):
+    """Group by group: the same items in the same order, each in its plain bin at its plain place."""
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 60)
+    r = random.Random(11)
+    rows = [(r.choice([None, "x", f"id-{i}"]) if i % 9 == 0 else f"id-{i}", r.randint(1, 40), r.choice(["hot", "hot", "a", "b", None]), r.choice([None, 1, 2, 3, 4, 5])) for i in range(400)] + [("same", 7, "a", 1)] * 90
+    docs = spark.createDataFrame(rows, "doc_id string, n int, source string, near int").withColumn("text", F.lit("t"))
+    found = packing.pack(docs, 32, size=F.col("n"), cluster=F.col("near")).collect()
+    items = docs.select(F.col("doc_id").alias("_id"), F.col("n").cast("long").alias("_size"), F.col("source").alias("_source"), F.col("near").alias("_cluster"))
+    groups = {}
+    for x in packing.deal(items, len(rows)).collect():
+        groups.setdefault(x._group, []).extend([(x._size, x._id, x._source, x._cluster)] * x._copies)
+    assert sum(map(len, groups.values())) == len(rows) and max(map(len, groups.values())) <= 120
+    wanted = Counter()
+    for group, members in groups.items():
+        members.sort(key=lambda m: (-(m[0] % 32), -m[0], m[1] is not None, m[1] or "", str(m[2:])))
+        rest = [m for m in members if m[0] % 32]
+        for m, (bin_, offset) in zip(rest, plain_best_fit([(m[0] % 32, m[2], m[3]) for m in rest], 32), strict=True):
+            wanted[m[1], m[0] % 32, (group << 32) + bin_, offset] += 1
+    assert Counter((x.doc_id, x.size, x.bin_id, x.bin_offset) for x in found if x.size < 32) == wanted
+    assert sum(x.size == 32 for x in found) == sum(n // 32 for _, n, *_ in rows)
+
+
+def test_hot_rows_are_dealt_over_groups(spark):
+    n = 200_000
+    items = spark.range(n).select(F.lit(None).cast("long").alias("_id"), F.lit(4).cast("long").alias("_size"), F.lit("s").alias("_source"), F.lit(1).alias("_cluster"))
+    sizes = [r[1] for r in packing.deal(items, n).groupBy("_group").agg(F.sum("_copies")).collect()]
+    assert sum(sizes) == n and max(sizes) <= 2 * packing.GROUP_ITEMS
+
+
+@pytest.mark.parametrize("source", ["concat('host-', id)", "'one'"])
+def test_small_sources_and_null_ids_share_no_cell(spark, source):
+    n, seen = 200_000, []
+    rows = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.expr(source).alias("source"))
+    real = sharding.store
+
+    def watched(df, label):
+        kept = real(df, label)
+        if label in ("sorted", "placed"):
+            seen.append(kept.df.groupBy("_cell").count().agg(F.max("count")).first()[0])
+        return kept
+
+    sharding.store, found = watched, None
+    try:
+        found = sharding.interleave(rows)
+    finally:
+        sharding.store = real
+    assert len(seen) == 2 and max(seen) <= 2 * sharding.CELL_ROWS
+    got = {r.shard: (r["n"], r.lo, r.hi, r.d) for r in found.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count_distinct("slot").alias("d")).collect()}
+    assert got == {s: (n // 16, 0, n // 16 - 1, n // 16) for s in range(16)}
+
+
 def test_best_fit_goes_on_past_conflicts():
     assert packing.best_fit([6, 5, 4, 3], [0, 1, 0, -1], [-1] * 4, 10) == [(0, 0), (1, 0), (1, 5), (0, 6)]
     plain = packing.best_fit([7, 6, 3, 4], [-1] * 4, [-1] * 4, 10)
@@ -207,6 +272,53 @@ def test_language(spark):
     assert language_id.identify(odd.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize(("labels", "each"), [(1500, 10), (6000, 2)])
+def test_no_label_is_lost(spark, labels, each):
+    rows = spark.range(labels * each).select(F.col("id").alias("doc_id"), F.concat(F.lit("wörd "), F.md5(F.col("id").cast("string"))).alias("text"), F.concat(F.lit("l"), F.col("id") % labels).alias("lang"))
+    model = language_id.fit(rows)
+    assert len(model.languages) == labels and set(model.owner) == set(range(labels))
+    assert language_id.identify(rows.limit(50), model).where("lang_pred != 'und' AND score > 0").count() == 50
+
+
+def test_training_rows_are_bounded_whatever_the_label_or_id(spark):
+    rows = spark.createDataFrame([(i, f"text {i} of en", "en") for i in range(9000)] + [(7, "again and again", "de")] * 3000 + [(None, "nobody", "fr")] * 100 + [(9001, "12 3", "it"), (9002, "uno", "it")], "doc_id long, text string, lang string")
+    drawn = language_id._sample(rows, "doc_id", "text", "lang").groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in drawn} == {"en": language_id.TRAIN_ROWS // 3, "de": 1, "it": 1}
+
+
+def test_language_scores_agree_with_plain_cosines(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    ends = [0, *model.ends.tolist()]
+    centroids = [dict(zip(model.seen[a:b].tolist(), model.values[a:b].tolist(), strict=True)) for a, b in zip(ends, ends[1:])]
+    found = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        grams = language_id.n_grams(r.text)
+        if grams is None:
+            assert found[r.doc_id].lang_pred == "und"
+            continue
+        weights = {g: math.log1p(n) * float(model.idf[g]) for g, n in Counter(grams.tolist()).items()}
+        size = math.sqrt(sum(w * w for w in weights.values()))
+        cosines = [sum(w * c.get(g, 0.0) for g, w in weights.items()) / size for c in centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert abs(found[r.doc_id].score - cosines[best]) < 1e-4 and found[r.doc_id].lang_pred == model.languages[model.owner[best]]
+    assert all(abs(sum(v * v for v in c.values()) - 1) < 1e-4 for c in centroids)
+
+
+NO_LANGUAGE = [
+    "def merge(a, b):\n    out = []\n    while a and b:\n        out.append(a.pop(0) if a[0] < b[0] else b.pop(0))\n    return out + a + b\n\n\nclass Node:\n    def __init__(self, key, left=None, right=None):\n        self.key, self.left, self.right = key, left, right\n\n    def walk(self):\n        if self.left:\n            yield from self.left.walk()\n        yield self.key\n",
+    "TWFueSBoYW5kcyBtYWtlIGxpZ2h0IHdvcmsu" * 3 + "QmFzZTY0IGVuY29kaW5nIHNjaGVtZXMgYXJlIGNvbW1vbmx5IHVzZWQgd2hlbiB0aGVyZSBpcyBhIG5lZWQgdG8gZW5jb2RlIGJpbmFyeSBkYXRh" * 3,
+    "0x7fb3a2f6ba10 mov rax, qword ptr [rbp-0x18]; xor ecx, ecx; jmp 0x4005d0; push rbp; sub rsp, 0x20; lea rdi, [rip+0xf]; call puts; leave; ret; nop dword ptr [rax+rax]",
+]
+
+
+def test_what_is_no_language_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs)
+    odd = spark.createDataFrame([(f"s-{i}", t) for i, t in enumerate(NO_LANGUAGE)], "doc_id string, text string")
+    assert [r.doc_id for r in language_id.identify(odd, model).where("not rejected").collect()] == []
+
+
 STRANGERS = [
     "La lingua italiana è una lingua romanza parlata principalmente in Italia. È classificata al ventisettesimo posto tra le lingue per numero di parlanti nel mondo. Nel corso dei secoli la letteratura ha avuto una grande importanza nella formazione della lingua comune, che gli scrittori hanno adattato alle esigenze del loro tempo.",
     "Język polski jest językiem z grupy zachodniosłowiańskiej, do której należą również czeski, kaszubski, słowacki i języki łużyckie. Jest językiem urzędowym w Polsce oraz jednym z języków urzędowych Unii Europejskiej. Ocenia się, że jest językiem ojczystym około czterdziestu milionów ludzi na świecie.",
@@ -259,6 +371,69 @@ def test_quality(spark):
     assert quality.grade(docs.limit(0), quality.fit(docs.limit(0), ratings, 3), 1).count() == 0
 
 
+def test_grades_agree_with_the_plain_likelihood(spark):
+    """Scores, probabilities and expected grades by the formulas; and cuts that no small step makes likelier."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    ratings = labels.select("doc_id", ((1 - F.col("toxic")) * (1 + F.col("quality"))).alias("grade"))
+    model = quality.fit(docs, ratings, 3)
+    found = {r.doc_id: r for r in quality.grade(docs, model, 1).collect()}
+    logistic = lambda x: 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
+    scores = {}
+    for r in docs.collect():
+        score = sum(float(model.weights[quality.bucket(f)]) for f in quality.features((r.text or "").encode()))
+        below = [logistic(float(c) - score) for c in model.cuts]
+        p = [b - a for a, b in zip([0.0, *below], [*below, 1.0])]
+        assert abs(found[r.doc_id].expected_grade - sum(k * x for k, x in enumerate(p))) < 1e-6 and abs(found[r.doc_id].p_tail - sum(p[1:])) < 1e-6
+        scores[r.doc_id] = score
+    graded = [(scores[r.doc_id], r.grade) for r in ratings.where("grade IS NOT NULL").dropDuplicates(["doc_id"]).collect() if r.doc_id in scores]
+
+    def loss(cuts):
+        at = [-math.inf, *cuts, math.inf]
+        return -sum(math.log(max(1e-9, (logistic(at[g + 1] - s) if g < 2 else 1) - (logistic(at[g] - s) if g else 0))) for s, g in graded) / len(graded)
+
+    share = [sum(g <= k for _, g in graded) / len(graded) for k in (0, 1)]
+    plain = -sum(math.log([share[0], share[1] - share[0], 1 - share[1]][g]) for _, g in graded) / len(graded)
+    fitted = loss(model.cuts)
+    assert fitted < 0.7 * plain
+    for k in (0, 1):
+        for step in (-0.3, 0.3):
+            moved = list(model.cuts)
+            moved[k] += step
+            assert loss(sorted(moved)) > fitted - 1e-3
+
+
+def test_grades_rank_unseen_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    ratings = labels.select("doc_id", ((1 - F.col("toxic")) * (1 + F.col("quality"))).alias("grade")).where("grade IS NOT NULL")
+    unseen = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 0
+    model = quality.fit(docs, ratings.where(~unseen), 3)
+    rows = quality.grade(docs.join(ratings.where(unseen).select("doc_id"), "doc_id", "left_semi"), model, 1).join(ratings, "doc_id").collect()
+
+    def auc(scores):
+        ranked = sorted(scores)
+        wins, low = 0.0, 0
+        for _, up in ranked:
+            wins, low = (wins + low, low) if up else (wins, low + 1)
+        return wins / max(1, low * (len(ranked) - low))
+
+    assert len(rows) > 500
+    assert auc([(r.p_tail, r.grade > 0) for r in rows]) > 0.9
+    assert auc([(r.expected_grade, r.grade > 1) for r in rows]) > 0.6
+
+
+def test_an_id_counts_once(spark):
+    docs = spark.createDataFrame([(f"u-{i % 50}", f"word{i % 2} x{i % 50}") for i in range(1000)], "doc_id string, text string")
+    ratings = spark.createDataFrame([(f"u-{i % 50}", i % 2) for i in range(500)] + [("u-1", 2), ("u-1", 9)], "doc_id string, grade int")
+    rated = {}
+    real = quality.train
+    quality.train = lambda grades, lists, n: rated.update(n=len(grades)) or real(grades, lists, n)
+    try:
+        assert quality.grade(docs, quality.fit(docs, ratings, 3), 1).count() == 1000
+    finally:
+        quality.train = real
+    assert rated["n"] == 50
+
+
 @settings(deadline=None, max_examples=200)
 @given(st.text(alphabet="\\elb<>/s[]INSTYU", max_size=40))
 def test_escape_leaves_no_control(text):
