@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import hashlib
 import json
 import os
 import sys
@@ -18,6 +19,7 @@ from .functions import frontmatter, log_doc, patching, paths
 from .operators import context, documents, links, listing, mentions, search, validate, writes
 from .sources import bundle as scan
 from .sources import cache
+from .sources.phases import phase
 from .sources.scratch import store
 
 GUIDE = """kbspark reads a bundle of Markdown documents with YAML frontmatter.
@@ -46,8 +48,15 @@ def _manifest(spark: SparkSession, bundle: Bundle) -> scan.Manifest:
 
 
 def _graph(spark: SparkSession, bundle: Bundle) -> tuple[scan.Manifest, links.Graph]:
+    """The manifest and its links. With a cache only changed concepts are searched for links."""
     found = _manifest(spark, bundle)
-    return found, links.build(found.concepts, bundle.reserved)
+    with phase("graph", bundle) as result:
+        kept = None
+        if bundle.cache_dir is not None:
+            rules = hashlib.sha256(repr(sorted(bundle.reserved)).encode()).hexdigest()[:8]
+            kept = cache.refresh_links(found.concepts, f"{bundle.cache_dir}/graph-{rules}", lambda c: links.extract(c, bundle.reserved)).drop("sha256")
+        result.append(links.build(found.concepts, bundle.reserved, kept))
+    return found, result[-1]
 
 
 def cmd_scan(spark, bundle, args):
@@ -85,7 +94,9 @@ def cmd_list_concepts(spark, bundle, args):
     listed = listing.list_concepts(found.concepts, bundle.listing_fields, args.with_content)
     out = {}
     if args.with_graph_counts:
-        listed = listing.with_graph(listed, links.degrees(found.concepts, graph.links), links.pagerank(found.concepts, graph.links))
+        ranks = links.pagerank(found.concepts, graph.links)
+        ranks = ranks if bundle.cache_dir is None else cache.refresh_ranks(ranks, bundle.cache_dir)
+        listed = listing.with_graph(listed, links.degrees(found.concepts, graph.links), ranks)
         out["orphans"] = [r["concept_id"] for r in rows(links.orphans(listed, graph.links).orderBy("concept_id"))]
     return {"concepts": rows(listed.orderBy("concept_id")), "problems": rows(listing.missing_type(found.concepts)) + rows(found.problems), **out}, 0
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Bundle
 from .bundle import Manifest, chosen, manifest_of, parse_problems, read_files, stable_id_problems, stable_ids
+from .phases import phase
 from .scratch import store
 
 KEYS = ["rel_path", "mtime_ms", "size"]
@@ -59,6 +60,13 @@ def snapshot_manifest(concepts: DataFrame, problems: DataFrame, bundle: Bundle)
 
 
 def refresh(spark: SparkSession, bundle: Bundle) -> Manifest:
+    """_refresh(), as a phase that may be watched."""
+    with phase("scan", bundle) as result:
+        result.append(_refresh(spark, bundle))
+    return result[-1]
+
+
+def _refresh(spark: SparkSession, bundle: Bundle) -> Manifest:
     """A scan that parses only files whose size or time differ from the snapshot, and saves the result.
 
     Paths, sizes and times are listed first; then up to MOST_LISTED changed files are opened by their paths. Of more, which
@@ -91,18 +99,33 @@ def changed_ranks(old: DataFrame, new: DataFrame, least: float = 1e-12) -> DataF
     return both.where(F.col("_old").isNull() | (F.abs(F.col("pagerank") - F.col("_old")) > least)).drop("_old")
 
 
+def refresh_ranks(ranks: DataFrame, folder: str) -> DataFrame:
+    """The stored ranks, written anew only if some differ from what is stored or nodes are gone."""
+    spark, place = ranks.sparkSession, f"{folder}/ranks"
+    old, new = load(spark, place), store(ranks, "ranks")
+    if old is None or not changed_ranks(old, new).isEmpty() or old.count() != new.count():
+        save(new, place)
+    return load(spark, place)
+
+
 def refresh_links(concepts: DataFrame, folder: str, extract) -> DataFrame:
     """The links of concepts, extracted only for those whose hash differs from the stored one's; titles are stored too.
 
-    extract is links.extract. Links of concepts that are gone are dropped.
+    extract is links.extract. Links of concepts that are gone are dropped. What was extracted from is stored beside the links,
+    so concepts without links aren't read again either.
     """
-    spark, place = concepts.sparkSession, f"{folder}/links"
-    old = load(spark, place)
-    if old is None:
-        found = extract(concepts).join(concepts.select(F.col("concept_id").alias("source_concept_id"), "sha256"), "source_concept_id")
+    spark = concepts.sparkSession
+    hashes = store(concepts.select(F.col("concept_id").alias("source_concept_id"), "sha256"), "hashes")
+    keys = ["source_concept_id", "sha256"]
+    known, old = load(spark, f"{folder}/parsed"), load(spark, f"{folder}/links")
+    if known is None or old is None:
+        found = extract(concepts).join(hashes, "source_concept_id")
     else:
-        known = old.select(F.col("source_concept_id").alias("concept_id"), "sha256").distinct()
-        fresh = extract(concepts.join(known, ["concept_id", "sha256"], "left_anti")).join(concepts.select(F.col("concept_id").alias("source_concept_id"), "sha256"), "source_concept_id")
-        found = old.join(concepts.select(F.col("concept_id").alias("source_concept_id"), "sha256"), ["source_concept_id", "sha256"], "left_semi").unionByName(fresh)
-    save(found, place)
-    return load(spark, place)
+        stale = hashes.join(known, keys, "left_anti")
+        if stale.isEmpty() and known.count() == hashes.count():
+            return old
+        changed = concepts.join(stale.select(F.col("source_concept_id").alias("concept_id")), "concept_id", "left_semi")
+        found = old.join(hashes, keys, "left_semi").unionByName(extract(changed).join(hashes, "source_concept_id"))
+    save(found, f"{folder}/links")
+    save(hashes, f"{folder}/parsed")
+    return load(spark, f"{folder}/links")

@@ -17,7 +17,7 @@ from kbspark.config import Bundle, ConfigError, Profile, Taxonomy, load
 from kbspark.functions import text
 from kbspark.operators import context, documents, links, listing, mentions, search, validate, writes
 from kbspark.sources import bundle as scan
-from kbspark.sources import cache
+from kbspark.sources import cache, phases
 from kbspark.streaming.refresh import stream
 
 
@@ -293,6 +293,24 @@ def test_indexes_and_moves_of_the_command_line(spark, tmp_path, capsys):
     assert code == 0 and spark.read.json(out["links"]).count() == 2
 
 
+def test_links_and_ranks_are_kept(spark, tmp_path, capsys, monkeypatch):
+    """Only changed concepts are searched for links, those without links too; phases are watched."""
+    write(tmp_path, {"bundles.toml": '[bundles.kb]\nroot = "docs"\ncache_dir = "cache"\n', "docs/a.md": doc("[b](b.md)", "A"), "docs/b.md": doc("none", "B")})
+    asked, told = [], []
+    real = links.extract
+    monkeypatch.setattr(links, "extract", lambda c, reserved: asked.append(sorted(r.concept_id for r in c.collect())) or real(c, reserved))
+    watcher = type("W", (), {"started": lambda self, *a: told.append(("started", a[0])), "ended": lambda self, *a: told.append(("ended", a[0])), "failed": lambda self, *a: told.append(("failed", a[0]))})()
+    with phases.watching(watcher):
+        for _ in range(2):
+            assert len(run(capsys, spark, tmp_path, "graph")[1]["links"]) == 1
+        assert asked == [["a", "b"]] and told == [(x, p) for _ in range(2) for p in ("scan", "graph") for x in ("started", "ended")]
+        write(tmp_path, {"docs/c.md": doc("[a](a.md)", "C")})
+        (tmp_path / "docs/b.md").unlink()
+        out = run(capsys, spark, tmp_path, "list-concepts", "--with-graph-counts")[1]
+    assert asked[1:] == [["c"]] and {c["concept_id"]: (c["outbound"], c["inbound"]) for c in out["concepts"]} == {"a": (0, 1), "c": (1, 0)}
+    assert {r.concept_id: r.pagerank for r in cache.load(spark, str(tmp_path / "cache/ranks")).collect()} == {c["concept_id"]: c["pagerank"] for c in out["concepts"]}
+
+
 def test_new_files_are_made_only_where_none_is(spark, tmp_path):
     write(tmp_path, {"there.md": "x"})
     files = spark.createDataFrame([("new.md", None, "n"), ("there.md", None, "n"), ("no/such.md", None, "n")], "rel_path string, content string, proposed string")
