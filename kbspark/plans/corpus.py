@@ -32,10 +32,14 @@ KINDS = (
 )
 
 
+#: Tables whose rows are or become texts that Python parses.
+DEALT = ("documents", "pages", "conversations", "customer", "supplier", "part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as its files split it. kbspark.scanPartitions, if a session sets it, deals documents and pages to so many tasks."""
+    """A table as its files split it. If a session sets kbspark.scanPartitions, tables of texts are dealt to so many tasks."""
     rows, parts = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.conf.get("kbspark.scanPartitions", None)
-    return rows.repartition(int(parts)) if parts and name in ("documents", "pages") else rows
+    return rows.repartition(int(parts)) if parts and name in DEALT else rows
 
 
 def head_of(kind: str) -> str:

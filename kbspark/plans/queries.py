@@ -100,6 +100,14 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _SID = "CASE WHEN c_custkey % 3 != 0 OR c_custkey % 10 = 9 THEN '' || c_custkey WHEN c_custkey % 2 = 0 THEN '' || (c_custkey + 1) ELSE chr(39) || chr(39) END"
 
 
+@query(f"""
+WITH c AS (SELECT 'customer/' || c_custkey || '.md' AS rel_path, nullif({_SID}, chr(39) || chr(39)) AS sid FROM customer WHERE c_custkey % 10 != 8)
+SELECT sid AS stable_id, rel_path FROM c WHERE sid IN (SELECT sid FROM c GROUP BY sid HAVING count(*) > 1)
+""")
+def stable_id_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.stable_id_members(scan.manifest_of(_versions(spark, sf_dir)[1], Bundle("customers", "/customers", stable_id_field="sid")).concepts)
+
+
 @query(f"""
 WITH c AS (SELECT 'customer/' || c_custkey || '.md' AS rel_path, nullif({_SID}, chr(39) || chr(39)) AS sid FROM customer WHERE c_custkey % 10 != 8),
 n AS (SELECT *, count(*) OVER (PARTITION BY sid) AS n FROM c)
@@ -181,11 +189,8 @@ def _graph(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("customer
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same links from the key columns, for operators that don't parse."""
-    one = table(spark, sf_dir, "customer").select(F.expr("'customer/' || c_custkey").alias("source_concept_id"), F.expr("'nation/' || c_nationkey").alias("target_concept_id"))
-    two = table(spark, sf_dir, "supplier").select(F.expr("'supplier/' || s_suppkey"), F.expr("'nation/' || s_nationkey"))
-    three = table(spark, sf_dir, "nation").select(F.expr("'nation/' || n_nationkey"), F.expr("'region/' || n_regionkey"))
-    return one.union(two).union(three)
+    """The links of the whole bundle, found in its texts."""
+    return _graph(spark, sf_dir).links.select("source_concept_id", "target_concept_id")
 
 
 @query(EDGES_SQL)
@@ -249,10 +254,9 @@ r(i, id, p) AS (
 SELECT id AS concept_id, round(p, 8) AS pagerank FROM r WHERE i = {rounds}"""
 
 
-@query(_rank_sql("SELECT 'customer/' || c_custkey AS id FROM customer UNION ALL SELECT 'supplier/' || s_suppkey FROM supplier UNION ALL SELECT 'nation/' || n_nationkey FROM nation UNION ALL SELECT 'region/' || r_regionkey FROM region", f"SELECT source_concept_id AS u, target_concept_id AS v FROM ({EDGES_SQL})", 5))
+@query(_rank_sql("SELECT 'customer/' || c_custkey AS id FROM customer UNION ALL SELECT 'supplier/' || s_suppkey FROM supplier UNION ALL SELECT 'nation/' || n_nationkey FROM nation UNION ALL SELECT 'region/' || r_regionkey FROM region UNION ALL SELECT 'part/' || p_partkey FROM part", f"SELECT source_concept_id AS u, target_concept_id AS v FROM ({EDGES_SQL})", 5))
 def pagerank_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = graph_bundle(spark, sf_dir, ("customer", "supplier", "nation", "region"))
-    return links.pagerank(nodes, _edges(spark, sf_dir), iterations=5, tolerance=None, every=5).select("concept_id", F.round("pagerank", 8).alias("pagerank"))
+    return links.pagerank(graph_bundle(spark, sf_dir), _edges(spark, sf_dir), iterations=5, tolerance=None, every=5).select("concept_id", F.round("pagerank", 8).alias("pagerank"))
 
 
 @query(_rank_sql("SELECT 's/' || s_suppkey AS id FROM supplier UNION ALL SELECT 'p/' || p_partkey FROM part", "SELECT 's/' || l_suppkey AS u, 'p/' || l_partkey AS v FROM lineitem UNION ALL SELECT 'p/' || l_partkey, 's/' || l_suppkey FROM lineitem WHERE l_linenumber = 1", 4))
@@ -671,3 +675,32 @@ def canonical_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = f"c_name || {NL} || '=====' || {NL} || '* one' || {NL} || '* ' || c_mktsegment || {NL} || {NL} || {NL} || 'text'"
     rows = table(spark, sf_dir, "customer").select(F.expr("'c/' || c_custkey || '.md'").alias("rel_path"), F.expr(source).alias("content"))
     return writes.plan(rows, markdown.render).select("rel_path", "proposed", "changed")
+
+
+_RESERVED = "CASE c_custkey % 4 WHEN 0 THEN 'n' || c_nationkey || '/c' || c_custkey || '/INDEX.md' WHEN 1 THEN 'n' || c_nationkey || '/c' || c_custkey || '/log.md' WHEN 2 THEN 'log.md/c' || c_custkey || '.md' ELSE 'c' || c_custkey || '/my-log.md' END"
+
+
+@query("SELECT 'n' || c_nationkey || '/c' || c_custkey AS dir, CASE WHEN c_custkey % 4 = 0 THEN 'INDEX.md' ELSE 'log.md' END AS filename FROM customer WHERE c_custkey % 4 < 2")
+def reserved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.reserved_files(table(spark, sf_dir, "customer").select(F.expr(_RESERVED).alias("rel_path")), ("index.md", "log.md"))
+
+
+@query("SELECT 'customer/' || c_custkey AS concept_id, 'error' AS severity, 'type' AS field FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+def validate_allowed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where types are listed as allowed, what is merely known doesn't count."""
+    rows = table(spark, sf_dir, "customer").select(F.expr("'customer/' || c_custkey").alias("concept_id"), F.to_json(F.struct(F.concat(F.lit(" "), "c_mktsegment").alias("type"))).alias("frontmatter"))
+    rule = Taxonomy(allowed_types=("BUILDING", "MACHINERY"), known_types=("AUTOMOBILE",))
+    return validate.taxonomy(rows, Profile(taxonomy=rule)).select("concept_id", "severity", "field")
+
+
+@query("""
+WITH d AS (SELECT 'n' || c_nationkey AS dir, max(c_custkey) AS top FROM customer GROUP BY c_nationkey)
+SELECT '' AS dir, dir || '/' AS link, dir AS title, CASE WHEN dir LIKE '%1' THEN 'told by ' || dir WHEN dir LIKE '%2' THEN NULL ELSE 'about ' || dir END AS description FROM d
+""")
+def index_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders are described by their sidecar, or by a function that is asked about the others."""
+    rows = table(spark, sf_dir, "customer").select(F.expr("'n' || c_nationkey || '/' || c_custkey").alias("concept_id"), F.lit("customer").alias("type"), F.col("c_name").alias("title"), F.lit(None).cast("string").alias("description"))
+    rows = rows.withColumn("rel_path", F.concat("concept_id", F.lit(".md")))
+    told = rows.select(F.substring_index("concept_id", "/", 1).alias("dir")).distinct().where("dir LIKE '%1'").select("dir", F.lit(None).cast("string").alias("title"), F.concat(F.lit("told by "), "dir").alias("description"))
+    entries = documents.generate_entries(rows, told, lambda folder: None if folder.endswith("2") else f"about\n {folder} ")
+    return entries.where("heading = 'Subdirectories'").select("dir", "link", "title", "description")
