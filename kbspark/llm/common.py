@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -154,17 +152,8 @@ def rolling(ids: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:n]) * _power(_BASE, n))
 
 
-def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4_000) -> Iterator[pa.RecordBatch]:
-    """Tuples as record batches of bounded length."""
-    held: list[tuple] = []
-
-    def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+def stretches(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of ids, of any length, the same wherever it stands."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * _power(pow(_BASE, -1, 1 << 64), len(ids)))])
+    return mix((sums[ends] - sums[starts]) * _power(_BASE, len(ids))[starts] + (ends - starts).astype(np.uint64))
 
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield made()
-            held = []
-    if held:
-        yield made()

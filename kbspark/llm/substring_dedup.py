@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, HOT_SHARE, WordHashes, as_bytes, attach, marked, own_id, rolling, store
+from .common import HOT_ROWS, HOT_SHARE, WordHashes, as_bytes, attach, marked, own_id, rolling, store, stretches
 
 #: Words of the anchors by which windows are dealt to reference shards.
 ANCHOR_WORDS = 8
@@ -89,17 +89,29 @@ def anchors(ids: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
+def _anchors_and_runs(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchors of a text, each with a hash of all stretches of words whose windows it anchors."""
+    anchor = anchors(ids, width)
+    breaks = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+    starts, ends = np.concatenate([[0], breaks]), np.concatenate([breaks, [len(anchor)]])
+    distinct, of = np.unique(anchor[starts], return_inverse=True)
+    runs = np.zeros(len(distinct), np.uint64)
+    np.add.at(runs, of, stretches(ids, starts, ends + width - 1))
+    return distinct, runs
+
+
 def _list_anchors(width: int, id_type: pa.DataType):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in source:
-            found, sizes = [np.empty(0, np.uint64)], []
+            found, sizes = [(np.empty(0, np.uint64), np.empty(0, np.uint64))], []
             for text in as_bytes(batch.column("_text")):
                 words = text.split() if text else []
-                found.append(np.unique(anchors(hashes.of(words), width)) if len(words) >= width else found[0])
-                sizes.append(len(found[-1]))
+                found.append(_anchors_and_runs(hashes.of(words), width) if len(words) >= width else found[0])
+                sizes.append(len(found[-1][0]))
             at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("_id").take(at).cast(id_type), batch.column("_h").take(at)], names=["anchor", "doc", "h"])
+            anchor, runs = (pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([anchor, runs, batch.column("_id").take(at).cast(id_type), batch.column("_h").take(at)], names=["anchor", "runs", "doc", "h"])
 
     return run
 
@@ -128,10 +140,10 @@ def _list_runs(width: int, hot_anchors: Broadcast, id_type: pa.DataType):
         hashes, hot = WordHashes(), hot_anchors.value
         for batch in source:
             rows, size = [], 0
-            for id_, h, text, shared in zip(batch.column("_id").to_pylist(), batch.column("_h").to_pylist(), as_bytes(batch.column("_text")), _held(batch.column("_shared")), strict=True):
+            for id_, h, text, asked in zip(batch.column("_id").to_pylist(), batch.column("_h").to_pylist(), as_bytes(batch.column("_text")), _held(batch.column("_asked")), strict=True):
                 words = text.split()
                 anchor = anchors(hashes.of(words), width)
-                for a, b in _runs(np.isin(anchor, shared), anchor):
+                for a, b in _runs(np.isin(anchor, asked), anchor):
                     key = int(anchor[a : a + 1].view(np.int64)[0])
                     rows.append((key, 1 + xxhash.xxh3_64_intdigest(str(id_)) % SALTS if key in hot else 0, b" ".join(words[a : b + width - 1]), id_, h))
                     size += len(rows[-1][2])
@@ -236,24 +248,25 @@ def remove_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     gives no rows.
 
     Windows are dealt to reference shards by their anchor, the least hash among their word n-grams. Anchors of a single
-    document are settled by a count, and in the smallest document of an anchor all its windows come first; only the passages
-    around shared anchors move. In a shard the passages, in order of ids, make suffix automata of bounded size, and each passage
-    streamed through one learns which document has each of its windows first. Frequent anchors are dealt over several
-    shards. Findings of different automata are merged by window, so nothing depends on where a shard was cut.
+    document are settled by a count; where all documents of an anchor have it within the same words, the smallest has all its
+    windows first. Of the other anchors, the smallest document of each wording sends its passages to a shard. There the
+    passages, in order of ids, make suffix automata of bounded size, and each passage streamed through one learns which document
+    has each of its windows first. Frequent anchors are dealt over several shards. Findings of different automata are merged
+    by window, so nothing depends on where a shard was cut.
 
-    Texts without shared anchors, and those that lose nothing, are never shuffled: a bitmap of bounded size tells them where they
+    Texts that no shard asks for, and those that lose nothing, are never shuffled: a bitmap of bounded size tells them where they
     are read. Lists of anchors and windows belong to an id and text, so rows that share an id share none but with their copies.
     """
     spark = docs.sparkSession
     id_, kind, arrow = own_id(docs, id_col)
     rows = docs.select(id_.alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"))
     named = rows.where("_id IS NOT NULL AND _text IS NOT NULL")
-    listed = store(named.mapInArrow(_list_anchors(width, arrow), f"anchor long, doc {kind}, h long"), "listed").df
+    listed = store(named.mapInArrow(_list_anchors(width, arrow), f"anchor long, runs long, doc {kind}, h long"), "listed").df
     pairs = listed.count()
-    counted = listed.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").drop("high")
-    counted = store(counted, "anchors").df
+    counted = listed.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("runs").alias("_least"), F.max("runs").alias("_most"), F.count(F.lit(1)).alias("n"))
+    counted = store(counted.where("low < high").select("anchor", "low", "n", (F.col("_least") != F.col("_most")).alias("contested")), "anchors").df
     floor = max(pairs // HOT_ANCHORS, 1_000)
-    hot = spark.sparkContext.broadcast({r.anchor for r in counted.where(F.col("n") >= floor).select("anchor").collect()})
+    hot = spark.sparkContext.broadcast({r.anchor for r in counted.where(F.col("contested") & (F.col("n") >= floor)).select("anchor").collect()})
     total = rows.count()
     same = F.struct(F.col("_id"), F.col("_h")).alias("_key")
     often = store(named.groupBy(same).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= max(total // HOT_SHARE, HOT_ROWS)), "often").df
@@ -263,19 +276,21 @@ def remove_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
         return store(found.join(F.broadcast(often), "_key", "left").withColumn("_rows", F.coalesce("_rows", F.lit(1))), label).df
 
     own = F.struct(F.col("doc").alias("_id"), F.col("h").alias("_h")).alias("_key")
-    shared = attach(listed, counted, "anchor", "n", pairs)
-    lists = listing(shared.groupBy(own).agg(F.collect_set("anchor").alias("_shared"), F.collect_set(F.when(F.col("low") < F.col("doc"), F.col("anchor"))).alias("_late")), "lists")
-    flagged = marked(named.select(same, "_text"), F.col("_key"), lists, "_key").where("_maybe").drop("_maybe")
-    texts = attach(flagged, lists.drop("_late"), "_key", "_rows", total).select("_key._id", "_key._h", "_text", "_shared")
+    shared = store(attach(listed, counted, "anchor", "n", pairs).drop("n"), "shared").df
+    wordings = shared.where("contested").select(F.struct("anchor", "runs").alias("_of"), "anchor", "doc", "h")
+    least = store(wordings.groupBy("_of").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n")), "wordings").df
+    asked = listing(attach(wordings, least, "_of", "n", pairs).where("doc = low").groupBy(own).agg(F.collect_set("anchor").alias("_asked")), "asked")
+    late = listing(shared.where("low < doc").groupBy(own).agg(F.collect_set("anchor").alias("_late")), "late")
+    flagged = marked(named.select(same, "_text"), F.col("_key"), asked, "_key").where("_maybe").drop("_maybe")
+    texts = attach(flagged, asked, "_key", "_rows", total).select("_key._id", "_key._h", "_text", "_asked")
     runs = texts.mapInArrow(_list_runs(width, hot, arrow), f"anchor long, salt int, run binary, doc {kind}, h long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = runs.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "h", "run").mapInArrow(_match(width, arrow), f"doc {kind}, h long, anchor long, window long, settled boolean")
     found = store(found, "passages").df
     open_ = found.where("not settled").select(F.struct("anchor", "window").alias("_of"), "doc", "h", "window")
-    least = store(open_.groupBy("_of").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n")), "least").df
-    merged = attach(open_, least, "_of", "n", found.count()).where("doc = low").select("doc", "h", "window")
+    firsts = store(open_.groupBy("_of").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n")), "firsts").df
+    merged = attach(open_, firsts, "_of", "n", found.count()).where("doc = low").select("doc", "h", "window")
     first = found.where("settled").select("doc", "h", "window").unionByName(merged).groupBy(own).agg(F.collect_set("window").alias("_first"))
-    late = lists.where(F.size("_late") > 0).select("_key", "_late", "_rows")
     judged = store(late.join(first, "_key", "left").withColumn("_first", F.coalesce("_first", F.array().cast("array<long>"))), "judged").df
     empty = F.array().cast("array<long>")
     parted = marked(rows.select(same, "_text"), F.col("_key"), judged, "_key")
