@@ -1,6 +1,8 @@
 """The pipeline and the registered queries against plain versions on the smallest tables."""
 
+import importlib
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -131,3 +133,21 @@ def test_classifiers_of_documents(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in found)
     graded = queries.op1_quality_ordinal(spark, DIR).collect()
     assert len(graded) == len(found) and all(0 <= r.p_tail <= 1 for r in graded)
+
+
+def test_all_are_registered():
+    import __spark_entry__
+
+    assert {*queries.QUERIES, "pipeline"} <= set(__spark_entry__.queries()) and set(queries.ORACLES) <= set(__spark_entry__.oracle_sql())
+
+
+def test_faults_of_the_dealt_operators_are_not_hidden(monkeypatch):
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    for name in [m for m in sys.modules if m.startswith("kbspark.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    with pytest.raises(ImportError):
+        importlib.reload(__spark_entry__)
+    monkeypatch.undo()
+    importlib.reload(__spark_entry__)
