@@ -99,9 +99,11 @@ class SuffixArray:
 
         Each search is within the range of the words before; a probe is given up where that is empty.
         """
-        low, high = np.zeros(len(probes), np.int64), np.full(len(probes), len(self.at), np.int64)
-        active = np.arange(len(probes))
-        for depth in range(int(lengths.max(initial=0))):
+        begins = np.searchsorted(self.numbers[self.at], np.arange(len(items.ids) + 2))  # the suffixes of each first word
+        word = items.numbers[probes]
+        low, high = begins[word], begins[word + 1]
+        active = np.flatnonzero(low < high)
+        for depth in range(1, int(lengths.max(initial=0))):
             active = active[lengths[active] > depth]
             word = items.numbers[probes[active] + depth]
             low[active], high[active] = self._bound(depth, word, low[active], high[active]), self._bound(depth, word + 1, low[active], high[active])
