@@ -54,32 +54,27 @@ def _by_role(role: Column, template: Template, of: int) -> Column:
     return out
 
 
-def format_chats(rows: DataFrame, template: Template = DEFAULT, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_chats(rows: DataFrame, template: Template = DEFAULT, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", only_valid: bool = False) -> DataFrame:
     """One row per conversation: conv_col, formatted, segments (array of text and loss), state, valid.
 
-    Turns come in the order of turn_col, ties by role and text, null turns first. A null text or role is empty. state is
-    where the machine over the roles ends, or rejected; valid tells whether it ends in a final state. Conversations that
-    aren't valid are formatted too; the caller chooses. Only texts of learned roles are under the loss, without their
-    marks. Rows with a null conv_col are one conversation. Other columns are ignored. An empty table gives no rows.
-    Texts are escaped row by row before the rows of a conversation meet; nothing here runs Python.
+    Turns come in the order of turn_col, ties by role and text, null turns first; repeated rows are turns each. A null text or
+    role is empty. state is where the machine over the roles ends, or rejected; valid tells whether it ends in a final state.
+    only_valid leaves out the others; without it they are formatted too and the caller chooses. Only texts of learned roles
+    are under the loss, without their marks. Rows with a null conv_col are one conversation. Texts may have any length that a
+    row may. Other columns are ignored. An empty table gives no rows. Texts move once and plain, and are escaped where the
+    turns of a conversation are in order; nothing here runs Python.
     """
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
-    turns = rows.select(
-        F.col(conv_col).alias("_conv"),
-        F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("plain"), escape(text, template).alias("text"), _by_role(role, template, 0).alias("opens"), _by_role(role, template, 1).alias("closes")).alias("_turn"),
-    )
+    turns = rows.select(F.col(conv_col).alias("_conv"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).alias("_turn"))
     chats = turns.groupBy("_conv").agg(F.sort_array(F.collect_list("_turn")).alias("_turns"))
     step = F.create_map(*[F.lit(x) for state, by in template.transitions.items() for role_, to in by.items() for x in (f"{state}>{role_}", to)])
     state = F.aggregate("_turns", F.lit("start"), lambda s, t: F.coalesce(F.try_element_at(step, F.concat(s, F.lit(">"), t["role"])), F.lit("rejected")))
+    chats = chats.withColumn("_state", state)
+    chats = chats.where(F.col("_state").isin(*template.final)) if only_valid else chats
     segment = lambda text_, loss: F.struct(text_.alias("text"), loss.alias("loss"))
-    segments = F.flatten(F.transform("_turns", lambda t: F.array(segment(t["opens"], F.lit(False)), segment(t["text"], t["role"].isin(*template.learned)), segment(t["closes"], F.lit(False)))))
-    return chats.select(
-        F.col("_conv").alias(conv_col),
-        F.concat_ws("", F.transform("_turns", lambda t: F.concat(t["opens"], t["text"], t["closes"]))).alias("formatted"),
-        segments.alias("segments"),
-        state.alias("state"),
-        state.isin(*template.final).alias("valid"),
-    )
+    segments = F.flatten(F.transform("_turns", lambda t: F.array(segment(_by_role(t["role"], template, 0), F.lit(False)), segment(escape(t["text"], template), t["role"].isin(*template.learned)), segment(_by_role(t["role"], template, 1), F.lit(False)))))
+    chats = chats.withColumn("segments", segments)
+    return chats.select(F.col("_conv").alias(conv_col), F.concat_ws("", F.transform("segments", lambda x: x["text"])).alias("formatted"), "segments", F.col("_state").alias("state"), F.col("_state").isin(*template.final).alias("valid"))
 
 
 def read_back(formatted: Column, template: Template = DEFAULT) -> Column:

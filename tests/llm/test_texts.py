@@ -44,6 +44,8 @@ def test_chat_machine(spark):
     found = read(chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
     assert {c: found[c].state for c in orders} == {1: "answered", 2: "answered", 3: "answered", 4: "rejected", 5: "rejected", 6: "asked", 7: "rejected", 8: "rejected", 9: "ready"}
     assert [c for c in orders if found[c].valid] == [1, 2, 3]
+    only = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), only_valid=True)
+    assert sorted(r.conv_id for r in only.collect()) == [1, 2, 3]
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
