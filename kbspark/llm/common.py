@@ -20,11 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORDS_REMEMBERED = 250_000
 
 
-def lower_az(c: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def normalised(c: Column) -> Column:
     """Null as empty, each run of white space as one space."""
     return F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " ")
