@@ -262,6 +262,9 @@ def remove_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     rows = docs.select(id_.alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"))
     named = rows.where("_id IS NOT NULL AND _text IS NOT NULL")
     listed = store(named.mapInArrow(_list_anchors(width, arrow), f"anchor long, runs long, doc {kind}, h long"), "listed").df
+    ends = listed.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    several = store(ends.select("anchor"), "several").df
+    listed = store(marked(listed, F.col("anchor"), several, "anchor").where("_maybe").drop("_maybe"), "near").df
     pairs = listed.count()
     counted = listed.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("runs").alias("_least"), F.max("runs").alias("_most"), F.count(F.lit(1)).alias("n"))
     counted = store(counted.where("low < high").select("anchor", "low", "n", (F.col("_least") != F.col("_most")).alias("contested")), "anchors").df
