@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, lower_az, normalised, own_id, store
+from .common import normalised, own_id, store
 
 #: Items that one task packs together on average, and copies of a repeated row that are dealt to a group at a time.
 GROUP_ITEMS, DEALT = 2_048, 16
@@ -102,8 +102,9 @@ def pack(docs: DataFrame, capacity: int = 2_048, id_col: str = "doc_id", text_co
     own, so a hot source, cluster, id or row is spread over all groups. Ties are broken by size, id, source and cluster, so
     results don't depend on the run.
     """
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)) + 1 if size is None else size
-    cluster = F.xxhash64(lower_az(normalised(F.col(text_col)))) if cluster is None else cluster
+    plain = F.trim(normalised(F.col(text_col)))  # one pass serves both: words are the spaces left and one more
+    size = F.when(plain == "", 1).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "))) + 2) if size is None else size
+    cluster = F.xxhash64(F.lower(plain)) if cluster is None else cluster
     id_, kind, arrow = own_id(docs, id_col)
     items = store(docs.select(id_.alias("_id"), size.cast("long").alias("_size"), F.col(source_col).cast("string").alias("_source"), cluster.alias("_cluster")), "items").df
     total, tasks = items.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
