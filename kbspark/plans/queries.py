@@ -256,7 +256,7 @@ SELECT id AS concept_id, round(p, 8) AS pagerank FROM r WHERE i = {rounds}"""
 
 @query(_rank_sql("SELECT 'customer/' || c_custkey AS id FROM customer UNION ALL SELECT 'supplier/' || s_suppkey FROM supplier UNION ALL SELECT 'nation/' || n_nationkey FROM nation UNION ALL SELECT 'region/' || r_regionkey FROM region UNION ALL SELECT 'part/' || p_partkey FROM part", f"SELECT source_concept_id AS u, target_concept_id AS v FROM ({EDGES_SQL})", 5))
 def pagerank_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.pagerank(graph_bundle(spark, sf_dir), _edges(spark, sf_dir), iterations=5, tolerance=None, every=5).select("concept_id", F.round("pagerank", 8).alias("pagerank"))
+    return links.pagerank(graph_bundle(spark, sf_dir), _edges(spark, sf_dir), iterations=5, tolerance=None).select("concept_id", F.round("pagerank", 8).alias("pagerank"))
 
 
 @query(_rank_sql("SELECT 's/' || s_suppkey AS id FROM supplier UNION ALL SELECT 'p/' || p_partkey FROM part", "SELECT 's/' || l_suppkey AS u, 'p/' || l_partkey AS v FROM lineitem UNION ALL SELECT 'p/' || l_partkey, 's/' || l_suppkey FROM lineitem WHERE l_linenumber = 1", 4))

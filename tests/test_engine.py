@@ -73,6 +73,35 @@ def test_pagerank(spark):
     assert counts == {"a": (3, 1), "b": (0, 2), "c": (0, 0), "d": (0, 0)}
 
 
+def test_pagerank_of_packed_links(spark, monkeypatch):
+    """Links packed over several blocks, lots, files and rows give the ranks of plain rounds."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    ends = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 50, (600, 2))] + [("n0", f"n{b}") for b in range(40)] + [("n1", "n2")] * 7 + [("n3", "out")]
+    ends = [(a, b) for a, b in ends if a != "n9"]
+    ids = [f"n{i}" for i in range(53)]
+    place = {x: i for i, x in enumerate(ids)}
+    m = np.zeros((53, 53))
+    for a, b in ends:
+        if b in place:
+            m[place[b], place[a]] += 1
+    outs = m.sum(axis=0)
+    ranks = np.full(53, 1 / 53)
+    for _ in range(100):
+        old, sunk = ranks, ranks[outs == 0].sum()
+        ranks = 0.15 / 53 + 0.85 * (m @ np.where(outs > 0, ranks / np.maximum(outs, 1), 0) + sunk / 53)
+        if np.abs(ranks - old).sum() < 1e-6:
+            break
+    monkeypatch.setattr(links, "FILE_LINKS", 100)
+    monkeypatch.setattr(links, "PACKED", 40)
+    nodes = spark.createDataFrame([(x,) for x in ids], "concept_id string")
+    edges = spark.createDataFrame(ends, "source_concept_id string, target_concept_id string")
+    for block, lot in ((1 << 16, 128), (10, 2)):
+        found = {r.concept_id: r.pagerank for r in links.pagerank(nodes, edges, block=block, lot=lot).collect()}
+        assert set(found) == set(ids) and max(abs(found[x] - ranks[place[x]]) for x in ids) < 1e-12
+
+
 VOCABULARY = ["alpha", "Beta", "café", "gamma.", "delta:", "the", "x_y", "zeta"]
 
 
